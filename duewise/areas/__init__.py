@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ["layers", "daily"]
+AREAS = ["layers", "daily", "findings"]
 
 
 def register_all() -> None:

@@ -245,7 +245,7 @@ def ods_repayment_detail(d: StarSchemaDomain) -> DataFrame:
         F.col("l_orderkey").alias("plan_id"),
         F.col("l_orderkey").alias("loan_id"),
         F.col("l_shipdate").alias("repay_time"),
-        (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("repay_amount"),
+        (F.floor(F.col("l_extendedprice") * (1 - F.col("l_discount")) * 100) / 100.0).alias("repay_amount"),
         F.when(F.col("l_returnflag") == "R", "REVERSED").otherwise("SUCCESS").alias("repay_status"),
     )
 
