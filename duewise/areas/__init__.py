@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ["layers", "daily", "findings"]
+AREAS = ["layers", "daily", "findings", "drivers"]
 
 
 def register_all() -> None:

@@ -10,6 +10,7 @@ from duewise.operators.windows import window_bounds
 from duewise.oracle import findings_sql  # noqa: F401
 from duewise.plans import anomaly as an
 from duewise.plans import daily_state as ds
+from duewise.plans.warehouse import SHARED_TABLES
 
 VALUES = {"baseline_value": 6, "recent_value": 6, "absolute_change": 6, "relative_change": 6}
 
@@ -75,8 +76,8 @@ def register() -> None:
     add("state_customer_daily", ds.customer_daily_state, "SELECT * FROM customer_daily_state")
     add("anomaly_window_bounds", bounds, BOUNDS_SQL)
     add("anomaly_change_rules", change_rules, CHANGE_SQL)
-    add("anomaly_checks", checks, "SELECT * FROM anomaly_check")
-    add("anomaly_findings", findings, "SELECT * FROM anomaly_finding")
+    add("anomaly_checks", checks, "SELECT * FROM anomaly_check", shared=SHARED_TABLES)
+    add("anomaly_findings", findings, "SELECT * FROM anomaly_finding", shared=SHARED_TABLES)
     for check in an.CHECKS:
         add(f"anomaly_check_{check.metric_code}", one_check(check.metric_code),
             f"SELECT * FROM anomaly_check WHERE metric_code = '{check.metric_code}'")
@@ -90,10 +91,10 @@ def register() -> None:
         WHERE metric_code = 'ptp_keep_rate'""")
     add("anomaly_severity_counts", lambda wh: an.severity_counts(findings(wh)), """
         SELECT severity, count(anomaly_id) AS finding_count FROM (VALUES ('high'), ('medium'), ('low')) l(severity)
-        LEFT JOIN anomaly_finding USING (severity) GROUP BY 1""")
+        LEFT JOIN anomaly_finding USING (severity) GROUP BY 1""", shared=SHARED_TABLES)
     add("anomaly_top", lambda wh: an.top_findings(findings(wh), 5), """
         SELECT * FROM anomaly_finding ORDER BY CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END,
-               abs(relative_change) DESC, metric_code, dimension_value LIMIT 5""")
+               abs(relative_change) DESC, metric_code, dimension_value LIMIT 5""", shared=SHARED_TABLES)
     add("anomaly_target", lambda wh: an.find_target(findings(wh)), """
         SELECT * FROM anomaly_finding WHERE metric_code IN ('recovery_rate_d7', 'm1_recovery_rate')
-        ORDER BY metric_code, dimension_value LIMIT 1""")
+        ORDER BY metric_code, dimension_value LIMIT 1""", shared=SHARED_TABLES)

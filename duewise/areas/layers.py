@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from duewise.catalog import add
 from duewise.oracle import warehouse_sql  # noqa: F401  (defines the expressions)
+from duewise.plans.warehouse import SHARED_TABLES
 
 AMOUNT = 4
 
@@ -32,4 +33,5 @@ TABLES = {
 
 def register() -> None:
     for name, digits in TABLES.items():
-        add(f"table_{name}", lambda wh, name=name: wh[name], f"SELECT * FROM {name}", **digits)
+        shared = SHARED_TABLES if name.startswith("ads_") else ()
+        add(f"table_{name}", lambda wh, name=name: wh[name], f"SELECT * FROM {name}", shared=shared, **digits)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,8 +15,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def open_warehouse(spark: SparkSession, sf_dir: str) -> Warehouse:
-    return Warehouse(StarSchemaDomain(spark, sf_dir))
+def open_warehouse(spark: SparkSession, sf_dir: str, shared: Sequence[str] = ()) -> Warehouse:
+    return Warehouse(StarSchemaDomain(spark, sf_dir), shared=shared)
 
 
 def stable(df: DataFrame, **digits: int) -> DataFrame:
@@ -24,13 +24,23 @@ def stable(df: DataFrame, **digits: int) -> DataFrame:
     return df.select(*(F.round(c, digits[c]).alias(c) if c in digits else F.col(c) for c in df.columns))
 
 
-def add(name: str, build: Callable[[Warehouse], DataFrame], oracle: str | None, **digits: int) -> None:
-    """Register a query over the warehouse and its SQL; ``digits`` are applied on both sides."""
+def add(
+    name: str,
+    build: Callable[[Warehouse], DataFrame],
+    oracle: str | None,
+    *,
+    shared: Sequence[str] = (),
+    **digits: int,
+) -> None:
+    """Register a query over the warehouse and its SQL; ``digits`` are applied on both sides.
+
+    ``shared`` names the tables that several branches of the query read.
+    """
     if name in QUERIES:
         raise ValueError(f"{name} is registered twice")
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return stable(build(open_warehouse(spark, sf_dir)), **digits)
+        return stable(build(open_warehouse(spark, sf_dir, shared)), **digits)
 
     QUERIES[name] = run
     if oracle is not None:

@@ -31,6 +31,11 @@ def safe_rate(num: Column | str, den: Column | str, *, clipped: bool = True, sca
 
     A missing numerator counts as 0, a missing denominator gives 0.
     """
+    if isinstance(num, str) and isinstance(den, str):
+        value = f"coalesce(nanvl(double({num}), null), 0D) / nanvl(double({den}), null)"
+        value = f"least(greatest({value}, 0D), 1D)" if clipped else value
+        value = f"CASE WHEN nanvl(double({den}), null) > 0 THEN {value} ELSE 0D END"
+        return F.expr(f"round({value}, {scale})" if scale is not None else value)
     n, d = F.coalesce(clean(num), F.lit(0.0)), clean(den)
     rate = F.when(d > 0, n / d).otherwise(F.lit(0.0))
     if clipped:

@@ -16,6 +16,7 @@ from duewise.functions.dates import day_ceiling
 from duewise.functions.rates import flag_sum, safe_rate, total
 from duewise.operators.ordering import dedupe, drop_null_keys, latest_per_key, first_per_key, last_observations
 from duewise.operators.windows import cap_at, max_date
+from duewise.session import stage
 from duewise.sources.tables import LAYERS, TableMissing, layer_of, write_table
 
 HIGH_BALANCE = 35_000  # fixed value
@@ -31,11 +32,23 @@ RECOVERY_FACTORS = [  # fixed values: code, name
 BUILDERS: dict[str, Callable[[Warehouse], DataFrame]] = {}
 
 
+# Tables that several branches of one plan read; staged on first use when a warehouse is opened for that.
+SHARED_TABLES = (
+    "dwd_due_plan_detail_di",
+    "dwd_repayment_detail_di",
+    "dwd_collection_action_detail_di",
+    "dws_case_status_snapshot_di",
+)
+
+
 class Warehouse:
-    def __init__(self, source, *, strict: bool = False) -> None:
+    """``shared``: built tables to stage on first use, because more than one branch will read them."""
+
+    def __init__(self, source, *, strict: bool = False, shared: Sequence[str] = ()) -> None:
         self.source = source
         self.spark = source.spark
         self.strict = strict
+        self.shared = set(shared)
         self.notes: list[str] = []
         self._made: dict[str, DataFrame] = {}
 
@@ -44,7 +57,8 @@ class Warehouse:
             if self.source.has(name):
                 self._made[name] = self.source.table(name)
             elif name in BUILDERS and not self.strict:
-                self._made[name] = BUILDERS[name](self)
+                built = BUILDERS[name](self)
+                self._made[name] = stage(built, name) if name in self.shared else built
             else:
                 raise TableMissing(f"missing table: {layer_of(name)}/{name}")
         return self._made[name]

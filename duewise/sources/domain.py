@@ -39,9 +39,12 @@ class StarSchemaDomain:
         self.root = root.rstrip("/")
         self.notes: list[str] = []
         self._made: dict[str, DataFrame] = {}
+        self._raw: dict[str, DataFrame] = {}
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{name}.parquet")
+        if name not in self._raw:
+            self._raw[name] = self.spark.read.parquet(f"{self.root}/{name}.parquet")
+        return self._raw[name]
 
     def has(self, name: str) -> bool:
         return name in BUILDERS
