@@ -54,6 +54,7 @@ def asof_join(
     *,
     tie_break: Sequence[str] = (),
     slice_unit: str | None = "month",
+    anchors: DataFrame | None = None,
 ) -> DataFrame:
     """Add to each left row the ``values`` of the latest right row at or before its time (null when none).
 
@@ -61,13 +62,14 @@ def asof_join(
     shrink to one row per (key, time) before they are put on one timeline. A timeline is cut at calendar
     slices; each slice starts with the value carried over from the slices before it, so even a key that
     owns a third of all rows is spread over many tasks. ``slice_unit=None`` keeps one timeline per key,
-    enough when times are dates.
+    enough when times are dates. ``anchors`` may name a cheaper table that holds at least the left (key, time)
+    pairs, so that an expensive ``left`` is evaluated once.
     """
     keys = list(keys)
     payload_fields = [F.col(right_time).alias("_at"), *(F.col(c).alias(f"_tie_{c}") for c in tie_break)]
     payload_fields += [F.col(c).alias(c) for c in values]
-    anchors = (
-        left.select(*keys, F.col(left_time).alias("_t"))
+    points = (
+        (left if anchors is None else anchors).select(*keys, F.col(left_time).alias("_t"))
         .dropna(subset=[*keys, "_t"])
         .distinct()
     )
@@ -77,7 +79,7 @@ def asof_join(
         .agg(F.max(F.struct(*payload_fields)).alias("_payload"))
     )
     rows = history.withColumn("_side", F.lit(1)).unionByName(
-        anchors.withColumn("_side", F.lit(2)), allowMissingColumns=True
+        points.withColumn("_side", F.lit(2)), allowMissingColumns=True
     )
     if slice_unit is None:
         timeline = rows

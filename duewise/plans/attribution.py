@@ -6,15 +6,14 @@ every segment and period, the rate parts and the process counts that serve as ev
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from duewise.functions.rates import flag_sum, safe_rate, total
 from duewise.operators.joins import coalescing_join
-from duewise.operators.ordering import dedupe, first_per_key, latest_per_key, top_per_key
+from duewise.operators.ordering import dedupe, latest_per_key, top_per_key
 from duewise.operators.windows import WindowBounds, window_bounds
 from duewise.plans.warehouse import HIGH_BALANCE
 
@@ -250,13 +249,7 @@ def driver_order() -> list[Column]:
 def ranked_drivers(scored: DataFrame, limit: int = 10, per_dimension: int = PER_DIMENSION) -> DataFrame:
     """Best segments of each dimension, then best overall, with a 1-based rank."""
     best = top_per_key(scored, ["dimension_name"], driver_order(), per_dimension).orderBy(*driver_order()).limit(limit)
-    listed = best.agg(F.array_sort(F.collect_list(F.struct(
-        (-F.round("contribution_score", 9)).alias("_a"), (-F.round("denominator_recent", 4)).alias("_b"),
-        dimension_index().alias("_c"), F.col("dimension_value").alias("_d"), F.struct(*best.columns).alias("row"),
-    ))).alias("rows"))  # `limit` rows
-    return listed.select(F.posexplode("rows").alias("_pos", "_item")).select(
-        (F.col("_pos") + 1).cast("int").alias("contribution_rank"), "_item.row.*"
-    )
+    return best.withColumn("contribution_rank", F.row_number().over(W.orderBy(*driver_order())))  # `limit` rows
 
 
 # --------------------------------------------------------------------------- evidence and wording

@@ -350,6 +350,13 @@ def customer_postloan_tag(wh: Warehouse) -> DataFrame:
     )
 
 
+@builds("ods_loan_daily_snapshot")
+def loan_daily_snapshot(wh: Warehouse) -> DataFrame:
+    from duewise.plans.daily_state import loan_daily_state
+
+    return loan_daily_state(wh)
+
+
 # --------------------------------------------------------------------------- application layer
 
 
