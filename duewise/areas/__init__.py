@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ["layers", "daily", "findings", "drivers", "modelling"]
+AREAS = ["layers", "daily", "findings", "drivers", "modelling", "messages"]
 
 
 def register_all() -> None:

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 from duewise.functions.dates import window_label
 from duewise.functions.rates import clean, relative_change
+from duewise.functions.text import fixed as two
+from duewise.functions.text import percent as pct
 from duewise.operators.ordering import exact_median, last_observations
 from duewise.operators.windows import window_bounds
 from duewise.sources.tables import TableMissing
@@ -60,14 +62,6 @@ class Check:
     tables: tuple[str, ...] = field(default=())
 
 
-def pct(value: Column) -> Column:
-    return F.format_string("%.2f%%", value * 100)
-
-
-def two(value: Column) -> Column:
-    return F.format_string("%.2f", value)
-
-
 def _series(df: DataFrame, value: Column, dimension_value: Column | str = "ALL") -> DataFrame:
     who = F.lit(dimension_value) if isinstance(dimension_value, str) else dimension_value
     return df.select(F.to_date("stat_date").alias("stat_date"), who.alias("dimension_value"), clean(value).alias("value"))
