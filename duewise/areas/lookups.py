@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from duewise.catalog import add
+from duewise.catalog import add, analysis
+from duewise.oracle import reports_sql  # noqa: F401
 from duewise.oracle.sql import CTES
 from duewise.oracle.warehouse_sql import ratio
 from duewise.plans import tools
-from duewise.plans.anomaly import Detection
-from duewise.plans.attribution import Attribution
 from duewise.plans.warehouse import SHARED_TABLES
 
 CTES.update({
@@ -52,7 +51,7 @@ def all_case_snapshots(wh):
 
 
 def plain_findings(wh):
-    return Detection(wh).findings.drop("explanation", "recommended_next_step")
+    return analysis(wh).findings.drop("explanation", "recommended_next_step")
 
 
 def overview(wh):
@@ -70,13 +69,15 @@ def register() -> None:
         tools.recovery_rate(wh, "province", "none of these").frame.select("stat_date", "recovery_rate_d7")),
         "SELECT stat_date, 0.0::DOUBLE AS recovery_rate_d7 FROM segment_fact WHERE province = 'none of these'")
     add("tool_anomalies_high", lambda wh: tools.anomalies(wh, "high", findings=plain_findings(wh)).frame,
-        "SELECT * FROM anomaly_finding WHERE severity = 'high'", shared=SHARED_TABLES)
+        "SELECT * FROM anomaly_finding WHERE severity = 'high'")
     add("tool_anomalies_metric", lambda wh: tools.anomalies(wh, metric_code="connect_rate", findings=plain_findings(wh)).frame,
-        "SELECT * FROM anomaly_finding WHERE metric_code = 'connect_rate'", shared=SHARED_TABLES)
-    add("tool_top_drivers", lambda wh: tools.top_drivers(wh, 5, Attribution(wh).results()).frame.select(
+        "SELECT * FROM anomaly_finding WHERE metric_code = 'connect_rate'")
+    add("tool_top_drivers", lambda wh: tools.top_drivers(wh, 5, analysis(wh).drivers).frame.select(
         "attribution_id", "dimension_name", "dimension_value", "contribution_score", "contribution_rank"), """
         SELECT attribution_id, dimension_name, dimension_value, contribution_score, contribution_rank FROM attribution_result
-        WHERE contribution_rank <= 5""", shared=SHARED_TABLES)
+        WHERE contribution_rank <= 5""")
+    add("tool_roi_scenario", lambda wh: tools.roi_scenarios(wh, "vendor_reallocation", analysis(wh).roi()).frame.select("scenario_id", "gross_benefit", "roi_ratio"),
+        "SELECT scenario_id, gross_benefit, roi_ratio FROM roi_result WHERE scenario_id = 'vendor_reallocation'")
     means = ", ".join(f"avg({c}) AS {c}" for c in ("connect_rate", "ptp_rate", "ptp_keep_rate", "call_coverage_rate", "complaint_rate"))
     digits = {c: 6 for c in ("connect_rate", "ptp_rate", "ptp_keep_rate", "call_coverage_rate", "complaint_rate", "recovery_contribution")}
     add("tool_vendor_performance", lambda wh: tools.vendor_performance(wh).frame, f"""

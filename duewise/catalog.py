@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from duewise.oracle import sql as osql
-from duewise.plans.warehouse import Warehouse
+from duewise.plans.strategy import StrategyLab
+from duewise.plans.warehouse import SHARED_TABLES, Warehouse
 from duewise.sources.domain import StarSchemaDomain
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,6 +48,35 @@ def add(
         ORACLES[name] = osql.rounded(oracle, **digits) if digits else osql.query(oracle)
 
 
+_ANALYSES: dict[tuple, StrategyLab] = {}
+
+
+def _state_of(spark: SparkSession, folder: str) -> tuple:
+    """What identifies the content of a folder: newest top-level change, bytes and number of files."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    summary = fs.getContentSummary(path)
+    newest = max((s.getModificationTime() for s in fs.listStatus(path)), default=0)
+    return newest, summary.getLength(), summary.getFileCount()
+
+
+def analysis(wh: Warehouse) -> StrategyLab:
+    """The findings-and-drivers run of a folder, shared by all reports of a session.
+
+    Detection and attribution are stages whose results the report datasets read; they run once per session
+    and folder, and again when the folder's content changes.
+    """
+    spark, root = wh.spark, wh.source.root
+    key = (spark.sparkContext.applicationId, root, _state_of(spark, root))
+    if key not in _ANALYSES:
+        _ANALYSES[key] = StrategyLab(open_warehouse(spark, root, SHARED_TABLES))
+    return _ANALYSES[key]
+
+
+def forget_analyses() -> None:
+    _ANALYSES.clear()
+
+
 def load() -> None:
     """Import every area once."""
     if QUERIES:

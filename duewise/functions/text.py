@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from duewise.functions.rates import col
 
@@ -54,7 +55,10 @@ def _make_compat_form():
 
     # Real types, not the strings that postponed annotations leave: workers cannot resolve those.
     compat.__annotations__ = {"texts": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
-    return F.pandas_udf(compat, "struct<text string, origin array<int>>")
+    form = T.StructType([
+        T.StructField("text", T.StringType()), T.StructField("origin", T.ArrayType(T.IntegerType())),
+    ])
+    return F.pandas_udf(compat, form)
 
 
 # Character-wise NFKC; null when the text does not change. ``origin`` gives the source position of every
