@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ["layers", "daily", "findings", "drivers", "modelling", "messages", "lookups", "reporting"]
+AREAS = ["layers", "daily", "findings", "drivers", "modelling", "messages", "lookups", "reporting", "soundness"]
 
 
 def register_all() -> None:
