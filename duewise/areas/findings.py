@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from duewise.catalog import add
-from duewise.functions.rates import relative_change
+from duewise.functions.rates import relative_change, steady_round
 from duewise.operators.windows import window_bounds
 from duewise.oracle import findings_sql  # noqa: F401
 from duewise.plans import anomaly as an
@@ -47,7 +47,7 @@ BOUNDS_SQL = """
 def change_rules(wh):
     """Relative change, spike, threshold and severity on every vendor-day against the vendor's mean."""
     daily = wh["ads_vendor_performance_di"].select("stat_date", "vendor_id", "connect_rate")
-    mean = daily.groupBy("vendor_id").agg(F.round(F.avg("connect_rate"), 6).alias("mean_rate"))
+    mean = daily.groupBy("vendor_id").agg(steady_round(F.avg("connect_rate"), 6).alias("mean_rate"))
     rows = daily.join(mean, "vendor_id")
     b, r = F.col("mean_rate"), F.col("connect_rate")
     rel = relative_change(b, r)
@@ -67,7 +67,7 @@ CHANGE_SQL = """
     FROM (SELECT *, round(connect_rate - m, 6) + 0.0::DOUBLE AS a,
                  CASE WHEN m = 0 THEN 0.0 ELSE round((connect_rate - m) / abs(m), 6) + 0.0::DOUBLE END AS c
           FROM ads_vendor_performance_di
-          JOIN (SELECT vendor_id, round(avg(connect_rate), 6) AS m FROM ads_vendor_performance_di GROUP BY 1) USING (vendor_id))"""
+          JOIN (SELECT vendor_id, round(avg(connect_rate) + 1e-10, 6) AS m FROM ads_vendor_performance_di GROUP BY 1) USING (vendor_id))"""
 
 
 def register() -> None:

@@ -36,7 +36,7 @@ def segment_sql(column: str, where: str = "") -> str:
 
 def breakdown_sql(column: str) -> str:
     return f"""
-        SELECT '{column}' AS segment_col, v AS segment_val, 'recovery_rate_d7' AS metric, round(avg(r), 6) AS avg_value,
+        SELECT '{column}' AS segment_col, v AS segment_val, 'recovery_rate_d7' AS metric, round(avg(r) + 1e-10, 6) AS avg_value,
                CASE WHEN count(*) < 2 OR arg_max(r, stat_date) = arg_min(r, stat_date) THEN 'flat' WHEN arg_max(r, stat_date) > arg_min(r, stat_date) THEN 'up' ELSE 'down' END AS trend,
                round(arg_min(r, stat_date), 6) AS first_value, round(arg_max(r, stat_date), 6) AS last_value, count(DISTINCT stat_date) AS day_count
         FROM (SELECT stat_date, {column} AS v, {ratio('sum(repaid_amount_d7)', 'sum(due_amount)', 6)} AS r FROM segment_fact
@@ -90,8 +90,7 @@ def register() -> None:
                      CAST(sum(complaint_count) AS BIGINT) AS complaint_count FROM ads_collector_performance_di GROUP BY 1, 2)""",
         daily_case_count=6, connect_rate=6, ptp_rate=6, ptp_keep_rate=6, compliance_score=6)
     for column in ("province", "risk_level", "product_code"):
-        add(f"tool_segment_breakdown_{column}", lambda wh, column=column: tools.segment_breakdown(wh, column).frame, breakdown_sql(column),
-            avg_value=5)
+        add(f"tool_segment_breakdown_{column}", lambda wh, column=column: tools.segment_breakdown(wh, column).frame, breakdown_sql(column))
     add("tool_case_detail_snapshots", all_case_snapshots, """
         SELECT case_id, balance_segment, stat_date, s.collector_id, round(outstanding_amount, 4) AS outstanding_amount, action_count
         FROM dws_case_status_snapshot_di s JOIN dim_case USING (case_id)

@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from duewise.functions.rates import steady_round
 from duewise.oracle import sql as osql
 from duewise.plans.strategy import StrategyLab
 from duewise.plans.warehouse import SHARED_TABLES, Warehouse
@@ -22,7 +23,7 @@ def open_warehouse(spark: SparkSession, sf_dir: str, shared: Sequence[str] = ())
 
 def stable(df: DataFrame, **digits: int) -> DataFrame:
     """Round result columns so that the order of floating sums cannot show."""
-    return df.select(*(F.round(c, digits[c]).alias(c) if c in digits else F.col(c) for c in df.columns))
+    return df.select(*(steady_round(c, digits[c]).alias(c) if c in digits else F.col(c) for c in df.columns))
 
 
 def add(

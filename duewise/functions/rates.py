@@ -26,6 +26,15 @@ def clip(value: Column, low: float | None = None, high: float | None = None) ->
     return out
 
 
+def steady_round(value: Column | str, digits: int) -> Column:
+    """Round with exact halves going up, whatever the last bit of a floating mean happens to be.
+
+    Means of rounded rates often fall exactly between two results; a nudge far below the last digit makes
+    the outcome independent of the order in which partial sums were added.
+    """
+    return F.round(col(value) + 10.0 ** -(digits + 4), digits)
+
+
 def safe_rate(num: Column | str, den: Column | str, *, clipped: bool = True, scale: int | None = 6) -> Column:
     """num / den where den > 0, else 0. By default clipped to [0, 1] and rounded to 6 places.
 
@@ -35,12 +44,12 @@ def safe_rate(num: Column | str, den: Column | str, *, clipped: bool = True, sca
         value = f"coalesce(nanvl(double({num}), null), 0D) / nanvl(double({den}), null)"
         value = f"least(greatest({value}, 0D), 1D)" if clipped else value
         value = f"CASE WHEN nanvl(double({den}), null) > 0 THEN {value} ELSE 0D END"
-        return F.expr(f"round({value}, {scale})" if scale is not None else value)
+        return F.expr(f"round({value} + 1e-{scale + 4}D, {scale})" if scale is not None else value)
     n, d = F.coalesce(clean(num), F.lit(0.0)), clean(den)
     rate = F.when(d > 0, n / d).otherwise(F.lit(0.0))
     if clipped:
         rate = clip(rate, 0.0, 1.0)
-    return F.round(rate, scale) if scale is not None else rate
+    return steady_round(rate, scale) if scale is not None else rate
 
 
 def rate_or_zero(num: Column | str, den: Column | str) -> Column:

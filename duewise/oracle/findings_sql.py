@@ -77,15 +77,15 @@ CTES.update({
                CASE WHEN direction = 'share' THEN CASE WHEN a >= 0.07 THEN 'high' ELSE 'medium' END
                     WHEN abs(c) >= 0.25 OR abs(a) >= 0.06 THEN 'high' WHEN abs(c) >= 0.15 OR abs(a) >= 0.04 THEN 'medium'
                     ELSE 'low' END AS severity,
-               dimension_name, dimension_value, round(b, 6) + 0.0::DOUBLE AS baseline_value, round(r, 6) + 0.0::DOUBLE AS recent_value,
+               dimension_name, dimension_value, round(b + 1e-10, 6) + 0.0::DOUBLE AS baseline_value, round(r + 1e-10, 6) + 0.0::DOUBLE AS recent_value,
                a AS absolute_change, c AS relative_change,
                strftime(newest - 29, '%Y-%m-%d') || '~' || strftime(newest, '%Y-%m-%d') AS recent_window,
                strftime(newest - 59, '%Y-%m-%d') || '~' || strftime(newest - 30, '%Y-%m-%d') AS baseline_window,
                evidence_table, b IS NOT NULL AND r IS NOT NULL AS evaluated,
                coalesce(CASE direction WHEN 'share' THEN a >= 0.05 WHEN 'drop' THEN a < 0 AND (c <= -0.1 OR a <= -0.02)
                                        ELSE a > 0 AND (c >= 0.1 OR a >= 0.02) END, false) AS fired
-        FROM (SELECT *, round(r - b, 6) + 0.0::DOUBLE AS a,
-                     CASE WHEN b = 0 THEN 0.0 ELSE round((r - b) / abs(b), 6) + 0.0::DOUBLE END AS c
+        FROM (SELECT *, round(r - b + 1e-10, 6) + 0.0::DOUBLE AS a,
+                     CASE WHEN b = 0 THEN 0.0 ELSE round((r - b) / abs(b) + 1e-10, 6) + 0.0::DOUBLE END AS c
               FROM check_means JOIN check_spec USING (metric_code))""",
     "anomaly_finding": "SELECT * EXCLUDE (evaluated, fired) FROM anomaly_check WHERE fired",
     "template_rate": """

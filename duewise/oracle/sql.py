@@ -32,15 +32,15 @@ def query(sql: str) -> str:
 
 
 def rounded(sql: str, **digits: int) -> str:
-    """Round result columns; adding 0.0 turns a negative zero into zero."""
-    items = ", ".join(f"round({c}, {d}) + 0.0::DOUBLE AS {c}" for c, d in digits.items())
+    """Round result columns with exact halves going up; adding 0.0 turns a negative zero into zero."""
+    items = ", ".join(f"round({c} + 1e-{d + 4}, {d}) + 0.0::DOUBLE AS {c}" for c, d in digits.items())
     return query(f"SELECT * REPLACE ({items}) FROM ({sql}) result_rows")
 
 
 def rate(num: str, den: str) -> str:
     """Clipped, rounded rate that is 0 for a denominator that is not positive."""
     return (
-        f"CASE WHEN coalesce({den}, 0) > 0 THEN round(least(greatest(coalesce({num}, 0)::DOUBLE / ({den})::DOUBLE, 0.0), 1.0), 6)"
+        f"CASE WHEN coalesce({den}, 0) > 0 THEN round(least(greatest(coalesce({num}, 0)::DOUBLE / ({den})::DOUBLE, 0.0), 1.0) + 1e-10, 6)"
         " ELSE 0.0 END::DOUBLE"
     )
 
@@ -48,5 +48,5 @@ def rate(num: str, den: str) -> str:
 def ratio(num: str, den: str, digits: int | None = None) -> str:
     """Unclipped rate that is 0 for a denominator that is not positive."""
     value = f"coalesce({num}, 0)::DOUBLE / ({den})::DOUBLE"
-    value = f"round({value}, {digits})" if digits is not None else value
+    value = f"round({value} + 1e-{digits + 4}, {digits})" if digits is not None else value
     return f"CASE WHEN coalesce({den}, 0) > 0 THEN {value} ELSE 0.0 END::DOUBLE"

@@ -7,7 +7,7 @@ cannot be evaluated becomes a warning and never stops the others.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.errors import AnalysisException
@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from duewise.functions.dates import window_label
-from duewise.functions.rates import clean, relative_change
+from duewise.functions.rates import clean, relative_change, steady_round
 from duewise.functions.text import fixed as two
 from duewise.functions.text import percent as pct
 from duewise.operators.ordering import exact_median, last_observations
@@ -45,6 +45,7 @@ class Rules:
 
 DEFAULT_RULES = Rules()
 TEN_THOUSAND = 10_000
+M1_FALLBACK = "recovery_rate_d7"
 
 
 @dataclass(frozen=True)
@@ -59,7 +60,6 @@ class Check:
     recommended_next_step: str
     series: Callable[..., DataFrame]
     rule: str = "window"
-    tables: tuple[str, ...] = field(default=())
 
 
 def _series(df: DataFrame, value: Column, dimension_value: Column | str = "ALL") -> DataFrame:
@@ -69,7 +69,7 @@ def _series(df: DataFrame, value: Column, dimension_value: Column | str = "ALL")
 
 def m1_series(wh, rules: Rules) -> DataFrame:
     board = wh["ads_postloan_dashboard_di"]
-    code = "m1_recovery_rate" if "m1_recovery_rate" in board.columns else "recovery_rate_d7"
+    code = "m1_recovery_rate" if "m1_recovery_rate" in board.columns else M1_FALLBACK
     return _series(board, F.col(code))
 
 
@@ -112,6 +112,14 @@ def ptp_keep_series(wh, rules: Rules) -> DataFrame:
     return _series(wh["ads_postloan_dashboard_di"], F.col("ptp_keep_rate"))
 
 
+def dashboard_series(board: DataFrame, codes: list[str]) -> DataFrame:
+    """Several dashboard metrics as series rows, from one pass over the dashboard."""
+    items = F.array(*(
+        F.struct(F.lit("ALL").alias("dimension_value"), clean(c).alias("value"), F.lit(c).alias("metric_code")) for c in codes
+    ))
+    return board.select(F.to_date("stat_date").alias("stat_date"), F.inline(items))
+
+
 # Names, formats and next steps are fixed values.
 CHECKS = [
     Check("m1_recovery_rate", "M1 回收率", "drop", "window_compare", "overall", "ads_postloan_dashboard_di",
@@ -155,13 +163,13 @@ def fires(direction: Column | str, absolute: Column, relative: Column, rules: Ru
     order in which means were summed.
     """
     way = F.lit(direction) if isinstance(direction, str) else direction
-    a, r = F.round(absolute, 6), F.round(relative, 6)
+    a, r = steady_round(absolute, 6), steady_round(relative, 6)
     sign = F.when(way == "drop", F.lit(-1.0)).when(way == "increase", F.lit(1.0)).otherwise(F.signum(a))
     return (a * sign > 0) & ((r * sign >= rules.min_relative) | (a * sign >= rules.min_absolute))
 
 
 def severity_of(absolute: Column, relative: Column, rules: Rules = DEFAULT_RULES) -> Column:
-    a, r = F.abs(F.round(absolute, 6)), F.abs(F.round(relative, 6))
+    a, r = F.abs(steady_round(absolute, 6)), F.abs(steady_round(relative, 6))
     return (
         F.when((r >= rules.high_relative) | (a >= rules.high_absolute), "high")
         .when((r >= rules.medium_relative) | (a >= rules.medium_absolute), "medium")
@@ -218,7 +226,9 @@ def compare_windows(series: DataFrame, keys: list[str], rules: Rules = DEFAULT_R
 def _per_check(value: Callable[[Check], Column]) -> Column:
     out = None
     for check in CHECKS:
-        condition = F.col("metric_code") == check.metric_code
+        condition = F.col("metric_code").isin(
+            [check.metric_code, M1_FALLBACK] if check.metric_code == "m1_recovery_rate" else [check.metric_code]
+        )
         out = F.when(condition, value(check)) if out is None else out.when(condition, value(check))
     return out
 
@@ -231,17 +241,38 @@ class Detection:
         self.rules = rules
         self.warnings: list[str] = []
         parts: list[DataFrame] = []
-        for check in CHECKS:
-            if only is not None and check.metric_code not in only:
+        wanted = [c for c in CHECKS if only is None or c.metric_code in only]
+        together = self._dashboard_checks(wanted)
+        if together:
+            parts.append(dashboard_series(wh["ads_postloan_dashboard_di"], together))
+        for check in wanted:
+            if check.metric_code in together:
                 continue
             try:
-                part = check.series(wh, rules).withColumn("metric_code", F.lit(check.metric_code))
+                part = check.series(wh, rules).withColumn("metric_code", F.lit(self._code_of(check)))
             except (TableMissing, AnalysisException, KeyError) as exc:
                 self.warnings.append(f"{check.metric_code} skipped: {exc}")
                 continue
             parts.append(part)
         self.series = reduce(DataFrame.unionByName, parts) if parts else None
 
+    def _code_of(self, check: Check) -> str:
+        """A dashboard without the M1 rate is checked, and reported, on its D7 rate."""
+        if check.metric_code == "m1_recovery_rate" and "m1_recovery_rate" not in self.wh["ads_postloan_dashboard_di"].columns:
+            return M1_FALLBACK
+        return check.metric_code
+
+    def _dashboard_checks(self, wanted: list[Check]) -> list[str]:
+        """Checks that read the dashboard, so that it is computed once for all of them."""
+        codes = {"m1_recovery_rate", "ptp_keep_rate"}
+        if not self.wh.source.has("ads_reduction_roi_di"):
+            codes.add("reduction_usage_rate")  # the built concession table copies this dashboard column
+        if not self.wh.has("ads_postloan_dashboard_di"):
+            return []
+        present = self.wh["ads_postloan_dashboard_di"].columns
+        found = [c.metric_code for c in wanted if c.metric_code in codes and c.metric_code in present]
+        return found if len(found) > 1 else []
+
     @property
     def checks(self) -> DataFrame | None:
         """One row per check and dimension value, fired or not; rows without both windows have null values."""
@@ -251,8 +282,8 @@ class Detection:
         compared = compare_windows(self.series, ["metric_code", "dimension_value"], rules)
         absolute, relative = F.col("absolute"), F.col("relative")
         share = _per_check(lambda c: F.lit(c.rule == "share"))
-        by_share = F.round(absolute, 6) >= rules.share_fires_at
-        share_level = F.when(F.round(absolute, 6) >= rules.share_high_at, "high").otherwise("medium")
+        by_share = steady_round(absolute, 6) >= rules.share_fires_at
+        share_level = F.when(steady_round(absolute, 6) >= rules.share_high_at, "high").otherwise("medium")
         direction = _per_check(lambda c: F.lit(c.direction))
         dimension = _per_check(lambda c: F.lit(c.dimension_name))
         both = F.col("baseline").isNotNull() & F.col("recent").isNotNull()
@@ -266,10 +297,10 @@ class Detection:
             F.when(share, share_level).otherwise(severity_of(absolute, relative, rules)).alias("severity"),
             dimension.alias("dimension_name"),
             "dimension_value",
-            F.round("baseline", 6).alias("baseline_value"),
-            F.round("recent", 6).alias("recent_value"),
-            F.round(absolute, 6).alias("absolute_change"),
-            F.round(relative, 6).alias("relative_change"),
+            steady_round("baseline", 6).alias("baseline_value"),
+            steady_round("recent", 6).alias("recent_value"),
+            steady_round(absolute, 6).alias("absolute_change"),
+            steady_round(relative, 6).alias("relative_change"),
             "recent_window", "baseline_window",
             _per_check(lambda c: F.lit(c.evidence_table)).alias("evidence_table"),
             _per_check(lambda c: c.explanation(F.col("baseline"), F.col("recent"), absolute)).alias("explanation"),

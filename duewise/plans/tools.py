@@ -9,7 +9,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from duewise.functions.rates import clip, safe_rate
+from duewise.functions.rates import clip, safe_rate, steady_round
 from duewise.operators.ordering import dedupe, latest_per_key
 from duewise.operators.windows import date_range, last_days, max_date
 from duewise.schemas import without_personal_fields
@@ -190,7 +190,7 @@ def segment_breakdown(wh, segment_col: str, metric: str = "recovery_rate_d7", da
     )
     out = grouped.select(
         F.lit(segment_col).alias("segment_col"), F.col(segment_col).alias("segment_val"), F.lit(metric).alias("metric"),
-        F.round("_avg", 6).alias("avg_value"),
+        steady_round("_avg", 6).alias("avg_value"),
         F.when(F.col("_n") >= 2, trend(F.col("_first"), F.col("_last"))).otherwise("flat").alias("trend"),
         F.round("_first", 6).alias("first_value"), F.round("_last", 6).alias("last_value"), "day_count",
     )
@@ -246,7 +246,7 @@ def collection_process(
         "action_count", "connected_count", safe_rate("connected_count", "action_count", clipped=False).alias("connect_rate"),
         "ptp_count", safe_rate("ptp_count", "connected_count", clipped=False).alias("ptp_rate"),
         safe_rate("ai_action_count", "action_count", clipped=False).alias("ai_coverage_rate"),
-        F.round(F.datediff("_newest", F.lit("1970-01-01")) + F.col("_mean_back"), 6).alias("days_since_last_action"),
+        steady_round(F.datediff("_newest", F.lit("1970-01-01")) + F.col("_mean_back"), 6).alias("days_since_last_action"),
         "case_count",
     )
     return ToolResult("query_collection_process", params, out)
