@@ -44,7 +44,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
         configured = os.path.join(tempfile.gettempdir(), f"duewise-checkpoint-{os.getpid()}")
     context.setCheckpointDir(configured)
-    return configured
+    return context.getCheckpointDir()
 
 
 def pin(df: DataFrame) -> DataFrame:
