@@ -11,7 +11,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 #: Operator modules, by number.
-MODULES = ("token_files", "byte_bpe")
+MODULES = ("token_files", "byte_bpe", "decontamination", "personal_data", "quality_rules")
 
 
 def query(name: str, oracle: str | None = None):
