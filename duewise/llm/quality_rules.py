@@ -129,6 +129,23 @@ def judge_documents(docs: DataFrame, ws: Workspace, limit: float = HOST_LIMIT, h
     return judged.withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected")), hosts
 
 
+def keep_good(docs: DataFrame, ws: Workspace, limit: float = HOST_LIMIT, host: str = "source") -> DataFrame:
+    """The rows of ``docs`` that neither their own rules nor their host's verdict reject, with all their columns.
+
+    Texts are counted twice, once for the hosts and once for the rows, so that no text is ever shuffled; the
+    rejected hosts meet the rows in an anti join. Rows of a null host are judged by their own rules.
+    """
+    narrow = with_counts(docs.select(F.col(host).alias("host"), "text")).drop("text")
+    names = list(rules(narrow))
+    hosts = host_rates(narrow.withColumns(rules(narrow)).select("host", *names), "host", names)
+    over = F.greatest(*(F.col(f"{n}_rate") for n in names), F.lit(0.0)) > limit
+    rejected = ws.stage(hosts.where(over).select("host"), "rejected")
+    own = [c for c in docs.columns if c != "text"]
+    judged = with_counts(docs.select(F.struct(*own).alias("own"), F.col(host).alias("host"), "text"))
+    good = judged.where(~F.greatest(*rules(judged).values())).select("own", "host", "text").join(rejected, "host", "left_anti")
+    return good.select("own.*", "text").select(*docs.columns)
+
+
 ORACLE = r"""
 with base as (
   select doc_id, source, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),

@@ -57,7 +57,7 @@ def test_segments_miss_nothing():
                 assert set(index[0]) & set(probe[0])
 
 
-def brute(texts, edits=2, min_chars=30, min_documents=6):
+def _classes(texts, edits=2, min_chars=30, min_documents=6):
     at, names = [], []
     for d, t in enumerate(texts):
         for i, raw in enumerate((t or "").split("\n")):
@@ -90,6 +90,17 @@ def brute(texts, edits=2, min_chars=30, min_documents=6):
         if key in seen:
             gone.setdefault(d, set()).add(i)
         seen.add(key)
+    return at, names, find, members, gone
+
+
+def brute_texts(texts):
+    *_, gone = _classes(texts)
+    for d, t in enumerate(texts):
+        yield "\n".join(x for i, x in enumerate((t or "").split("\n")) if i not in gone.get(d, ()))
+
+
+def brute(texts):
+    at, names, find, members, gone = _classes(texts)
     for d, t in enumerate(texts):
         lines = (t or "").split("\n")
         own = [line for (e, _), line in zip(at, names) if e == d]
