@@ -141,8 +141,11 @@ def keep_good(docs: DataFrame, ws: Workspace, limit: float = HOST_LIMIT, host: s
     over = F.greatest(*(F.col(f"{n}_rate") for n in names), F.lit(0.0)) > limit
     rejected = ws.stage(hosts.where(over).select("host"), "rejected")
     own = [c for c in docs.columns if c != "text"]
-    judged = with_counts(docs.select(F.struct(*own).alias("own"), F.col(host).alias("host"), "text"))
-    good = judged.where(~F.greatest(*rules(judged).values())).select("own", "host", "text").join(rejected, "host", "left_anti")
+    # The row number keeps the filter above the counts; below them, it would count a text again for each of its words.
+    judged = with_counts(docs.select(F.struct(*own).alias("own"), F.col(host).alias("host"), "text")).withColumn(
+        "row", F.monotonically_increasing_id()
+    )
+    good = judged.where((F.col("row") >= 0) & ~F.greatest(*rules(judged).values())).select("own", "host", "text").join(rejected, "host", "left_anti")
     return good.select("own.*", "text").select(*docs.columns)
 
 
