@@ -117,7 +117,7 @@ def register() -> None:
                CASE WHEN coalesce(p.action_count, 0) <= 0 THEN 'NO_ACTION' WHEN p.ai_action_count > 0 THEN 'AI_ACTION' ELSE 'MANUAL_ACTION' END AS last_action_type,
                CASE WHEN p.ptp_fulfilled_count > 0 THEN 'PTP_FULFILLED' WHEN p.ptp_count > 0 THEN 'PTP' WHEN p.connected_count > 0 THEN 'CONNECTED'
                     WHEN p.action_count > 0 THEN 'NOT_CONNECTED' ELSE 'NO_ACTION' END AS last_outcome
-        FROM (SELECT * FROM dws_case_status_snapshot_di WHERE stat_date = (SELECT max(stat_date) FROM dws_case_status_snapshot_di) ORDER BY case_id LIMIT 200) s
+        FROM (SELECT * FROM dws_case_status_snapshot_di WHERE stat_date = (SELECT max(stat_date) FROM dws_case_status_snapshot_di)) s
         LEFT JOIN dim_case c ON c.case_id = s.case_id LEFT JOIN dim_collection_line l ON l.line_id = s.line_id
         LEFT JOIN (SELECT * FROM dws_collection_process_wide_di WHERE stat_date = (SELECT max(stat_date) FROM dws_collection_process_wide_di)
                    QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY collector_id) = 1) p ON p.case_id = s.case_id""", outstanding_amount=4)

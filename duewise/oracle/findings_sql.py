@@ -15,7 +15,7 @@ CTES.update({
               FROM (SELECT s.stat_date, s.loan_id, any_value(s.customer_id) AS customer_id, any_value(due_date) AS due_date,
                            coalesce(sum(repay_amount), 0.0) AS cumulative_repaid,
                            round(greatest(any_value(due_amount) - coalesce(sum(repay_amount), 0.0), 0.0), 2) AS outstanding_amount
-                    FROM (SELECT p.*, due_date + CAST(k AS INTEGER) AS stat_date FROM ods_repayment_plan p, range(15) t(k)) s
+                    FROM (SELECT p.*, due_date + CAST(k AS INTEGER) AS stat_date FROM ods_repayment_plan p, range(75) t(k)) s
                     LEFT JOIN dwd_repayment_detail_di r ON r.loan_id = s.loan_id AND r.repay_date <= s.stat_date
                           AND r.repay_status = 'SUCCESS'
                     GROUP BY s.stat_date, s.loan_id))""",

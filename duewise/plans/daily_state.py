@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from duewise.functions.buckets import dpd_bucket
 from duewise.functions.rates import clip
 
-STATE_DAYS = 15
+#: Dates of a loan's panel, from its due date on: past the 60th day, so that M3 and its followers occur too.
+STATE_DAYS = 75
 
 
 def loan_spine(plan: DataFrame, days: int = STATE_DAYS) -> DataFrame:

@@ -39,7 +39,6 @@ REPORTED_FINDINGS = [  # fixed values
 ]
 CAPACITY_METRIC = "avg_case_per_collector"
 TOTAL = "合计"  # fixed value
-CASE_SHEET_SIZE = 200  # fixed value: the sheet is a sample of the first cases
 
 
 def value_of(column: str, pairs: dict[str, str], default: str | None) -> Column:
@@ -208,9 +207,10 @@ def roi_block(roi_rows: DataFrame) -> DataFrame:
     )
 
 
-def case_sheet(wh, size: int = CASE_SHEET_SIZE) -> DataFrame:
-    """The first cases by id on the newest day, with the class of the last action and outcome."""
-    status = latest_partition(wh["dws_case_status_snapshot_di"]).orderBy("case_id").limit(size)
+def case_sheet(wh, size: int | None = None) -> DataFrame:
+    """The cases on the newest day, with the class of the last action and outcome; ``size`` takes the first by id only."""
+    status = latest_partition(wh["dws_case_status_snapshot_di"])
+    status = status if size is None else status.orderBy("case_id").limit(size)
     case = dedupe(wh["dim_case"].select("case_id", "balance_segment"), ["case_id"], ["balance_segment"])
     place = dedupe(
         latest_partition(wh["dws_vendor_line_capacity_di"]).select("vendor_id", "line_id", "region"), ["vendor_id", "line_id"], ["region"]

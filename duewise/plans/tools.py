@@ -22,7 +22,7 @@ UNKNOWN = "UNKNOWN"
 
 @dataclass
 class ToolResult:
-    """What a tool answers: all rows, the cap for display, and a note. ``row_count`` counts before the cap."""
+    """What a tool answers: all rows and a note. A ``cap`` for display is the caller's to set; there is none by default."""
 
     tool: str
     params: dict[str, Any]
@@ -95,14 +95,14 @@ def recovery_rate(
     params = {"segment_col": segment_col, "segment_val": segment_val, "date_start": date_start, "date_end": date_end}
     if not segment_col:
         board = date_range(wh["ads_postloan_dashboard_di"], date_start, date_end).select("stat_date", "recovery_rate_d7")
-        return ToolResult("query_recovery_rate", params, board, 366, ("stat_date",))
+        return ToolResult("query_recovery_rate", params, board, order=("stat_date",))
     if segment_col not in SEGMENT_COLUMNS:
         return ToolResult("query_recovery_rate", params, empty(wh, "stat_date date, recovery_rate_d7 double"), note="unsupported segment")
     fact = date_range(segment_fact(wh), date_start, date_end)
     if segment_val is not None:
         fact = fact.filter(F.col(segment_col) == str(segment_val))
     keys = ["stat_date", segment_col]
-    return ToolResult("query_recovery_rate", params, recovery_by(fact, keys), 366, tuple(keys))
+    return ToolResult("query_recovery_rate", params, recovery_by(fact, keys), order=tuple(keys))
 
 
 def anomalies(wh, severity: str | None = None, metric_code: str | None = None, findings: DataFrame | None = None) -> ToolResult:
@@ -147,7 +147,7 @@ def vendor_performance(
         "recovery_contribution", F.round(F.col("action_count") * F.col("ptp_rate") * F.col("ptp_keep_rate"), 6)
     )
     params = {"vendor_id": vendor_id, "date_start": date_start, "date_end": date_end}
-    return ToolResult("query_vendor_performance", params, out, 100, ("vendor_id",))
+    return ToolResult("query_vendor_performance", params, out, order=("vendor_id",))
 
 
 def collector_performance(
@@ -165,7 +165,7 @@ def collector_performance(
     share = F.when(F.col("action_count") != 0, 1 - F.col("complaint_count") / F.col("action_count"))
     out = grouped.withColumn("compliance_score", clip(F.coalesce(share, F.lit(1.0)), 0.0, 1.0))
     params = {"vendor_id": vendor_id, "date_start": date_start, "date_end": date_end}
-    return ToolResult("query_collector_performance", params, out, 200, ("vendor_id", "collector_id"))
+    return ToolResult("query_collector_performance", params, out, order=("vendor_id", "collector_id"))
 
 
 def trend(first: Column, last: Column) -> Column:
@@ -217,7 +217,7 @@ def case_detail(wh, case_id: str | None = None, customer_id: str | None = None)
         if value:
             cases = cases.filter(F.col(column) == F.lit(value))
             snapshots = snapshots.filter(F.col(column) == F.lit(value))
-    return ToolResult("query_case_detail", params, nest_recent(cases, snapshots), 100, ("case_id",))
+    return ToolResult("query_case_detail", params, nest_recent(cases, snapshots), order=("case_id",))
 
 
 def collection_process(
