@@ -180,10 +180,11 @@ win as (select doc_id, i, md5(array_to_string(list_slice(w, i, i + 34), ' ')) as
   from (select doc_id, w, unnest(range(1, len(w) - 33)) as i from d where len(w) >= 35)),
 rep as (select doc_id, i from (select doc_id, i, count(*) over (partition by g) as c from win) where c > 1),
 gone as (select distinct doc_id, unnest(range(i, i + 35)) as p from rep),
-lost as (select doc_id, count(*) as n, list(p) as ps from gone group by doc_id)
-select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n, 0) as bigint) as n_removed,
-  sha256(array_to_string(case when n is null then w else list_transform(list_filter(list_zip(w, range(1, len(w) + 1)), x -> not list_contains(ps, x[2])), x -> x[1]) end, ' ')) as kept_sha256
-from d left join lost using (doc_id)
+lost as (select doc_id, count(*) as n from gone group by doc_id),
+word as (select doc_id, p, w[p] as x from (select doc_id, w, unnest(range(1, len(w) + 1)) as p from d)),
+stay as (select doc_id, string_agg(x, ' ' order by p) as kept from word anti join gone using (doc_id, p) group by doc_id)
+select d.doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n, 0) as bigint) as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+from d left join lost using (doc_id) left join stay using (doc_id)
 """
 
 
