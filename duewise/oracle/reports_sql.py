@@ -33,8 +33,7 @@ CTES.update({
         UNION ALL SELECT 4, contribution_rank * 100 + item_order, 'process_evidence', attribution_id, metric_code, driver, baseline_value, recent_value, delta,
                concat_ws(' ', attribution_id, driver, metric_code) FROM process_item""",
     "scenario_evidence": """
-        SELECT scenario_id, e.* EXCLUDE (text) FROM scenario s JOIN evidence_row e ON contains(text, target_anomaly_id) OR contains(text, keyword)
-        QUALIFY row_number() OVER (PARTITION BY scenario_id ORDER BY group_order, row_order, source_id, driver) <= 6""",
+        SELECT scenario_id, e.* EXCLUDE (text) FROM scenario s JOIN evidence_row e ON contains(text, target_anomaly_id) OR contains(text, keyword)""",
     "strategy_result": """
         SELECT scenario_order, scenario_id, strategy_type, round(b, 6) AS baseline_value,
                round(least(greatest(b + CASE WHEN n > 0 THEN rule_delta ELSE 0 END, 0.0), 1.0), 6)::DOUBLE AS scenario_value,

@@ -13,12 +13,10 @@ from pyspark.sql import functions as F
 
 from duewise.functions.rates import clip
 from duewise.operators.joins import matching_entries
-from duewise.operators.ordering import top_per_key
 from duewise.plans.anomaly import CHECKS, Detection, counts_with_zeros, find_target
 from duewise.plans.attribution import Attribution
 from duewise.session import pin
 
-MAX_EVIDENCE = 6  # fixed value
 SCENARIO_SCHEMA = (
     "scenario_id string, scenario_name string, strategy_type string, target_metric string, target_anomaly_id string, "
     "target_segments array<struct<dimension:string,value:string>>, expected_direction string, keyword string, "
@@ -141,12 +139,10 @@ class StrategyLab:
 
     @property
     def evidence(self) -> DataFrame:
-        """Per scenario: the first six rows that mention its target id or its keyword."""
-        hits = self.evidence_rows.withColumn(
+        """Per scenario: every row that mentions its target id or its keyword."""
+        return self.evidence_rows.withColumn(
             "_hit", F.explode(matching_entries(F.col("text"), scenario_entries(), ["target_anomaly_id", "keyword"]))
         ).select("_hit.scenario_id", *(c for c in self.evidence_rows.columns if c != "text"))
-        order = [F.col("group_order").asc(), F.col("row_order").asc(), F.col("source_id").asc(), F.col("driver").asc()]
-        return top_per_key(hits, ["scenario_id"], order, MAX_EVIDENCE)
 
     def results(self) -> DataFrame:
         """Baseline, estimated delta, scenario value, direction and confidence of each scenario."""
@@ -155,7 +151,7 @@ class StrategyLab:
             F.count(F.lit(1)).alias("evidence_count"),
             F.collect_list(F.struct("source", "source_id", "metric_code", "driver", "baseline_value", "recent_value", "delta", "note")).alias("evidence_links"),
             F.max(F.struct("source_id", "recent_value")).alias("_any"),
-        )  # six rows per scenario at most
+        )  # findings, drivers and process items of one report: a bounded list
         matched = self.scenarios.select("scenario_id", F.col("target_anomaly_id").alias("source_id")).filter(
             F.col("source_id").startswith("M3B-")
         ).join(evidence, ["scenario_id", "source_id"]).groupBy("scenario_id").agg(
