@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from duewise.llm.common import Workspace, list_array, map_rows, schema_with, table, texts_of
+from duewise.llm.common import map_rows, schema_with, table, texts_of
 from duewise.llm.hashing import word_hashes
 from duewise.llm.quality_model import held_out
 from duewise.llm.registry import query
@@ -25,7 +25,7 @@ BITS = 18
 #: Word beginnings of these lengths, in bytes, are features beside whole words.
 STEMS = (4, 5, 6)
 #: Most positive and most unlabelled texts that are used to fit; those with the smallest hash of doc_id.
-MAX_POSITIVE, MAX_UNLABELLED = 6_000, 18_000
+MAX_POSITIVE, MAX_UNLABELLED = 4_000, 12_000
 EPOCHS, BATCH, RATE, DECAY = 30, 256, 0.2, 1e-3
 #: A feature gets a weight if it is in at least 3 % of the positive texts, and in three of them, and is so many
 #: times as frequent there as in unlabelled texts. Words of ordinary prose stay out.
@@ -53,15 +53,14 @@ def features(text: bytes) -> np.ndarray:
 
 
 def with_features(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """doc_id, the columns of ``keep`` and the features of each whole text."""
+    """doc_id, the columns of ``keep`` and the features of each whole text as the bytes of 32-bit integers."""
     kept = docs.select("doc_id", *keep)
 
     def run(batch: pa.RecordBatch) -> dict:
-        found = [features(t) for t in texts_of(batch)]
-        lists = list_array(pa.array(np.concatenate(found)), [len(x) for x in found])
-        return {c: batch.column(c) for c in ("doc_id", *keep)} | {"features": lists}
+        found = [features(t).tobytes() for t in texts_of(batch)]
+        return {c: batch.column(c) for c in ("doc_id", *keep)} | {"features": pa.array(found, pa.binary())}
 
-    return map_rows(docs.select("doc_id", *keep, "text"), run, schema_with(kept, features=T.ArrayType(T.IntegerType())))
+    return map_rows(docs.select("doc_id", *keep, "text"), run, schema_with(kept, features=T.BinaryType()))
 
 
 @dataclass
@@ -183,9 +182,10 @@ def fit_toxicity(
     )
     wanted = toxic.withColumn("positive", F.lit(True)).unionByName(rest.withColumn("positive", F.lit(False)))
     sample = with_features(docs.join(wanted, "doc_id").select("doc_id", "text", "positive"), ["positive"])
-    rows = [(r.doc_id, r.positive, np.array(r.features, np.int64)) for r in sample.collect()]
-    rows.sort(key=lambda r: (r[0], r[2].tobytes()))
-    split = [[f for _, positive, f in rows if positive is kind] for kind in (True, False)]
+    # Some kilobytes a row as plain bytes: the bounded sample stays small on the driver.
+    rows = [(r.doc_id, bytes(r.features), r.positive) for r in sample.toLocalIterator()]
+    rows.sort()
+    split = [[np.frombuffer(f, np.int32) for _, f, positive in rows if positive is kind] for kind in (True, False)]
     return fit_nnpu(*split, (ones or 0) / n if n else 0.0)
 
 
