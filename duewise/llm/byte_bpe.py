@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from duewise.llm.common import list_array, map_rows, schema_with, table
+from duewise.llm.common import list_array, map_rows, per_worker, schema_with, table
 from duewise.llm.registry import query
 
 #: White space of Unicode, which the pre-token pattern means by ``\\s``.
@@ -125,14 +125,8 @@ class ByteBpe:
 def _worker(spark: SparkSession, rank_file: bytes, pattern: str):
     """A function that gives each Python worker its own model, from one broadcast of the vocabulary file."""
     shared = spark.sparkContext.broadcast((rank_file, pattern))
-    own: list[ByteBpe] = []
-
-    def get() -> ByteBpe:
-        if not own:
-            own.append(ByteBpe(*shared.value))
-        return own[0]
-
-    return get
+    key = hashlib.sha256(rank_file + pattern.encode()).hexdigest()
+    return lambda: per_worker("byte bpe", key, lambda: ByteBpe(*shared.value))
 
 
 def bpe_encode(docs: DataFrame, rank_file: bytes, pattern: str, text: str = "text", into: str = "ids") -> DataFrame:

@@ -68,6 +68,16 @@ def map_rows(
     return df.mapInArrow(run, schema)
 
 
+_OWN: dict[str, tuple] = {}
+
+
+def per_worker(kind: str, key, make: Callable[[], object]):
+    """What ``make`` gives, kept by the Python worker over its tasks; one value of each kind."""
+    if kind not in _OWN or _OWN[kind][0] != key:
+        _OWN[kind] = (key, make())
+    return _OWN[kind][1]
+
+
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     """The UTF-8 bytes of each text; null is empty."""
     return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]

@@ -8,13 +8,15 @@ back to offsets of the original.
 from __future__ import annotations
 
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from duewise.llm.common import map_rows, schema_with, table
+from duewise.llm.common import map_rows, per_worker, schema_with, table, texts_of
 from duewise.llm.registry import query
 
 WINDOW = 13
@@ -114,13 +116,12 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
 
 
 def _scan(docs: DataFrame, kept: list[str], part, window: int, first: bool) -> DataFrame:
-    own: list[Matcher] = []
+    key = uuid.uuid4().hex
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        if not own:
-            own.append(Matcher(part.value, window))
-        texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
-        found = [own[0].find(t) for t in texts]
+        matcher = per_worker("matcher", key, lambda: Matcher(part.value, window))
+        texts = texts_of(batch)
+        found = [matcher.find(t) for t in texts]
         if not first:
             before = zip(batch.column("items").to_pylist(), batch.column("hit_words").to_pylist(), strict=True)
             found = [(x | set(a), np.union1d(y, np.array(b, np.int32))) for (x, y), (a, b) in zip(found, before, strict=True)]

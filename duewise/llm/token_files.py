@@ -11,7 +11,9 @@ whose upper bits are the place of a value of more than sixty bits in the record'
 
 from __future__ import annotations
 
+import hashlib
 import os
+import re
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -20,12 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from duewise.llm.common import Workspace, list_array, map_rows, table
+from duewise.llm.byte_bpe import byte_characters
+from duewise.llm.common import Workspace, list_array, map_rows, per_worker, table, texts_of
 from duewise.llm.registry import query
 
 BLOCK = 1024
-RECORD_IDS = 1 << 18
-RECORDS_PER_FILE = 32
+RECORD_IDS = 1 << 19
+RECORDS_PER_FILE = 16
 MAGIC = b"S8B1"
 
 # Values per word and bits per value, by selector.
@@ -147,28 +150,68 @@ def records(content: bytes) -> Iterator[tuple[list[int | None], np.ndarray, np.n
 class WordEncoder:
     """Ids of whole texts by the tokenizers library.
 
-    The tokenizer drops white space before its merges, so a text's ids are those of its parts between ASCII
-    white space, one after another; parts met before come from a bounded cache.
+    The tokenizer drops white space before its merges and lower-cases, so a text's ids are those of its
+    lower-cased parts between ASCII white space, one after another. A part of a word and signs falls into its
+    pre-tokens the same way. Parts and words met before come from bounded caches.
     """
 
-    KEEP = 400_000
+    KEEP = 300_000
+    _VISIBLE = re.compile("[!-&(-~]+")
+    _ASCII = re.compile("[a-z]+|[0-9]|[^a-z0-9]+")
+    _SIGNED = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]*)")
 
     def __init__(self, definition: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
-        self.known: dict[bytes, bytes] = {}
+        # A part that holds a special token is left whole: the library finds them anywhere in a text.
+        self.special = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.letters = str.maketrans({chr(b): c for b, c in enumerate(byte_characters())})
+        self.parts: dict[bytes, bytes] = _Learnt(self._part)
+        self.words: dict[str, bytes] = {}
+
+    def _split(self, part: str) -> list[str] | None:
+        """The pre-tokens of a part where they are plain to see; else None."""
+        if any(s in part for s in self.special):
+            return None
+        if self._VISIBLE.fullmatch(part):
+            return self._ASCII.findall(part)
+        signed = self._SIGNED.fullmatch(part)
+        return [w for w in signed.groups() if w] if signed and signed[1].isalpha() else None
+
+    def _word(self, word: str) -> bytes:
+        """Ids of one pre-token, by the library's normaliser and merges."""
+        found = self.words.get(word)
+        if found is None:
+            plain = word if word.isascii() else self.tokenizer.normalizer.normalize_str(word).encode().decode("latin-1").translate(self.letters)
+            found = self.words[word] = np.array([t.id for t in self.tokenizer.model.tokenize(plain)], np.uint32).tobytes()
+        return found
+
+    def _part(self, part: bytes) -> bytes:
+        text = part.decode("utf-8", "replace")
+        words = self._split(text)
+        if words is None:
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
+        return b"".join([self._word(w) for w in words])
 
     def ids(self, text: bytes) -> np.ndarray:
-        parts = text.split()
-        if len(self.known) > self.KEEP:
-            self.known.clear()
-        new = list({x for x in parts if x not in self.known})
-        if new:
-            encoded = self.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in new], add_special_tokens=False)
-            self.known.update(zip(new, (np.array(e.ids, np.uint32).tobytes() for e in encoded), strict=True))
-        return np.frombuffer(b"".join(map(self.known.__getitem__, parts)), np.uint32)
+        for cache, most in ((self.parts, self.KEEP), (self.words, 2 * self.KEEP)):
+            if len(cache) > most:
+                cache.clear()
+        parts = text.split() if b"<|" in text else text.lower().split()
+        return np.frombuffer(b"".join(map(self.parts.__getitem__, parts)), np.uint32)
+
+
+class _Learnt(dict):
+    """A cache that asks ``make`` for what it lacks."""
+
+    def __init__(self, make):
+        self.make = make
+
+    def __missing__(self, key):
+        found = self[key] = self.make(key)
+        return found
 
 
 def token_ids(docs: DataFrame, definition: str, end_id: int = 1) -> DataFrame:
@@ -176,24 +219,32 @@ def token_ids(docs: DataFrame, definition: str, end_id: int = 1) -> DataFrame:
 
     A null or empty text has the end id alone. Other columns are not read.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(definition)
-    own: list[WordEncoder] = []
+    encode = _encoder(docs.sparkSession, definition, end_id)
+    return map_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), encode, "doc_id long, ids array<int>")
 
-    def encode(batch: pa.RecordBatch) -> dict:
-        if not own:
-            own.append(WordEncoder(shared.value))
-        found = [np.append(own[0].ids(t or b""), np.uint32(end_id)) for t in batch.column("text").cast(pa.binary()).to_pylist()]
-        return {"doc_id": batch.column("doc_id"), "ids": list_array(pa.array(np.concatenate(found).astype(np.int32)), [len(x) for x in found])}
 
-    return map_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), encode, "doc_id long, ids array<int>")
+def _encoder(spark: SparkSession, definition: str, end_id: int):
+    shared = spark.sparkContext.broadcast(definition)
+    key = hashlib.sha256(definition.encode()).hexdigest()
+
+    def encode(batch: pa.RecordBatch) -> pa.RecordBatch:
+        encoder = per_worker("word encoder", key, lambda: WordEncoder(shared.value))
+        found = [np.append(encoder.ids(t), np.uint32(end_id)) for t in texts_of(batch)]
+        ids = list_array(pa.array(np.concatenate(found).astype(np.int32)), [len(x) for x in found])
+        return pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "ids": ids})
+
+    return encode
 
 
-def write_token_files(tokens: DataFrame, path: str) -> None:
+def write_token_files(tokens: DataFrame, path: str, definition: str | None = None, end_id: int = 1) -> None:
     """Write ``doc_id, ids`` to Simple-8b files under ``path``, in ascending ``doc_id`` order; null first.
 
+    With a tokenizer ``definition`` the rows are ``doc_id, text``, encoded on the way as by :func:`token_ids`.
+
     The rows must be ordered within and over partitions. Spark's writer commits the files, so a lost executor
     leaves no half-written file and any file system of the session will do.
     """
+    encode = _encoder(tokens.sparkSession, definition, end_id) if definition else None
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs: list[int | None] = []
@@ -209,6 +260,9 @@ def write_token_files(tokens: DataFrame, path: str) -> None:
 
         held = 0
         for batch in batches:
+            if not batch.num_rows:
+                continue
+            batch = encode(batch) if encode else batch
             lists = batch.column("ids")
             values, ends = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
             for i, doc in enumerate(batch.column("doc_id").to_pylist()):
@@ -226,8 +280,13 @@ def write_token_files(tokens: DataFrame, path: str) -> None:
     blocks.write.option("lineSep", "\n").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
 
 
-def read_token_files(spark: SparkSession, path: str) -> DataFrame:
-    """``file, place, doc_id, n_tokens, ids``: the documents of the files; ``place`` is the first id's place in its file."""
+def read_token_files(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
+    """``file, place, doc_id, n_tokens`` and ``ids`` of the documents of the files.
+
+    ``place`` is the first id's place in its file. With ``digest``, ``ids_crc32`` stands for ``ids``: the unsigned
+    crc32 of the ids as little-endian unsigned 32-bit integers.
+    """
+    kinds = "file string, place long, doc_id long, n_tokens long, "
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         names, docs, places, counts, values = [], [], [], [], []
@@ -242,10 +301,16 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
                 at += len(ids)
         sizes = np.concatenate(counts) if counts else np.zeros(0, np.int64)
         flat = np.concatenate(values) if values else np.zeros(0, np.int64)
+        if digest:
+            ends = np.cumsum(sizes)
+            data = memoryview(flat.astype("<u4")).cast("B")
+            last = pa.array([zlib.crc32(data[4 * (b - n) : 4 * b]) for b, n in zip(ends.tolist(), sizes.tolist(), strict=True)], pa.int64())
+        else:
+            last = list_array(pa.array(flat), sizes)
         return pa.RecordBatch.from_pydict({
             "file": pa.array(names, pa.string()), "place": pa.array(np.concatenate(places) if places else [], pa.int64()),
             "doc_id": pa.array(docs, pa.int64()), "n_tokens": pa.array(sizes.astype(np.int64)),
-            "ids": list_array(pa.array(flat), sizes),
+            "ids_crc32" if digest else "ids": last,
         })
 
     def one_by_one(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,19 +319,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
                 yield run(batch.slice(i, 1))
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
-    return files.mapInArrow(one_by_one, "file string, place long, doc_id long, n_tokens long, ids array<long>")
-
-
-def digests(tokens: DataFrame) -> DataFrame:
-    """``file, place, doc_id, n_tokens, ids_crc32`` of read documents."""
-
-    def run(batch: pa.RecordBatch) -> dict:
-        lists = batch.column("ids")
-        values, ends = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
-        sums = [zlib.crc32(values[a:b].astype("<u4").tobytes()) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-        return {c: batch.column(c) for c in ("file", "place", "doc_id", "n_tokens")} | {"ids_crc32": pa.array(sums, pa.int64())}
-
-    return map_rows(tokens, run, "file string, place long, doc_id long, n_tokens long, ids_crc32 long")
+    return files.mapInArrow(one_by_one, kinds + ("ids_crc32 long" if digest else "ids array<long>"))
 
 
 def with_starts(spark: SparkSession, rows: DataFrame) -> DataFrame:
@@ -300,7 +353,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     ws = Workspace(spark, "token-files")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     ordered = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    write_token_files(token_ids(ordered, tokenizer_definition()), ws.path("files"))
-    rows = ws.stage(digests(read_token_files(spark, ws.path("files"))), "digests")
+    write_token_files(ordered, ws.path("files"), tokenizer_definition())
+    rows = ws.stage(read_token_files(spark, ws.path("files"), digest=True), "digests")
     ws.drop("files")
     return with_starts(spark, rows).select("doc_id", "start", "n_tokens", "ids_crc32")
