@@ -24,6 +24,10 @@ from duewise.llm.registry import query
 
 #: Star centres that each node may be compared with.
 STARS = 6
+#: Sets of at most so many n-grams carry their bitmaps into the tiles.
+CARRIED = 512
+#: Pairs of two groups that are checked before the rest of their pairs.
+PICKS = 3
 #: An n-gram of so large a share of the documents counts as frequent.
 FREQUENT = 0.002
 _SALTS = np.random.default_rng(51).integers(1, 2**63, STARS + 1, dtype=np.uint64)
@@ -67,7 +71,8 @@ def _described(keyed: DataFrame, size: int, percent: int) -> DataFrame:
         rows = [ngrams(t, size) for t in texts_of(batch)]
         n = np.array([len(g) for g in rows])
         bands = band_of(n, percent)
-        nodes = [g.sum(dtype=np.uint64) + mix(g ^ _SALTS[-1]).sum(dtype=np.uint64) * np.uint64(3) for g in rows]
+        plain, salted = (np.array([x.sum(dtype=np.uint64) for x in sums], np.uint64) for sums in (rows, [mix(g ^ _SALTS[-1]) for g in rows]))
+        nodes = plain + salted * np.uint64(3)
         own = [bitmap(g, _width(b, percent)) for g, b in zip(rows, bands.tolist(), strict=True)]
         low = [bitmap(g, _width(b - 1, percent)) for g, b in zip(rows, bands.tolist(), strict=True)]
         stars = [np.array([mix(g ^ s).min() for s in _SALTS[:-1]]) if len(g) else np.zeros(STARS, np.uint64) for g in rows]
@@ -76,7 +81,7 @@ def _described(keyed: DataFrame, size: int, percent: int) -> DataFrame:
         first = np.zeros(len(rows), np.int64)
         first[0] = many.sum()
         return {c: batch.column(c) for c in ("doc_id", "row_id", "text_key")} | {
-            "node": pa.array(signed(np.array(nodes, np.uint64))), "n": pa.array(n.astype(np.int64)), "band": pa.array(bands),
+            "node": pa.array(signed(nodes)), "n": pa.array(n.astype(np.int64)), "band": pa.array(bands),
             "own": list_array(pa.array(signed(np.concatenate(own))), [len(x) for x in own]),
             "low": list_array(pa.array(signed(np.concatenate(low))), [len(x) for x in low]),
             "stars": list_array(pa.array(signed(np.concatenate(stars))), [STARS] * len(rows)),
@@ -137,24 +142,23 @@ def _may_link(x: str, y: str, percent: int) -> Column:
     return sizes & (scale * (nx - _only(mine, other)) >= need) & (scale * (ny - _only(other, mine)) >= need)
 
 
-def _linked(pairs: DataFrame, keyed: DataFrame, nodes: DataFrame, size: int, percent: int, ws: Workspace, name: str) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets are similar enough, by the intersection of their sorted n-gram arrays.
-
-    The arrays of the nodes concerned are made once from one text of each; a node's array meets all its pairs in
-    a join, so that a star centre's is not copied through the shuffle.
-    """
-    pairs = ws.stage(pairs, f"{name}-pairs")
+def _sets(pairs: DataFrame, keyed: DataFrame, nodes: DataFrame, size: int, ws: Workspace, name: str) -> DataFrame:
+    """node, grams: the sorted n-grams of the nodes in ``pairs``, made from one text of each."""
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    places = ws.stage(nodes.join(wanted, "node").select("node", "row_id", "text_key"), f"{name}-places")
+    places = nodes.join(wanted, "node").select("node", "row_id", "text_key")
 
     def arrays(batch: pa.RecordBatch) -> dict:
         rows = [ngrams(t, size) for t in texts_of(batch)]
         return {"node": batch.column("node"), "grams": list_array(pa.array(signed(np.concatenate(rows))), [len(g) for g in rows])}
 
     # Rows that repeat a row in full give a node twice; one of them stands for it.
-    texts = keyed.join(places, ["row_id", "text_key"]).select("node", "text")
-    sets = ws.stage(map_rows(texts, arrays, "node long, grams array<long>").dropDuplicates(["node"]), f"{name}-sets")
-    joined = pairs.join(sets.withColumnRenamed("node", "a").withColumnRenamed("grams", "x"), "a").join(
+    texts = keyed.join(ws.stage(places, f"{name}-places"), ["row_id", "text_key"]).dropDuplicates(["row_id", "text_key", "node"]).select("node", "text")
+    return ws.stage(map_rows(texts, arrays, "node long, grams array<long>"), f"{name}-sets")
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets are similar enough, by the intersection of their sorted n-gram arrays."""
+    joined = pairs.select("a", "b").join(sets.withColumnRenamed("node", "a").withColumnRenamed("grams", "x"), "a").join(
         sets.withColumnRenamed("node", "b").withColumnRenamed("grams", "y"), "b"
     )
 
@@ -173,29 +177,68 @@ def _linked(pairs: DataFrame, keyed: DataFrame, nodes: DataFrame, size: int, per
         kept = batch.filter(pa.array(keep, pa.bool_()))
         return {"a": kept.column("a"), "b": kept.column("b")}
 
-    out = ws.stage(map_rows(joined.select("a", "b", "x", "y"), check, "a long, b long"), f"{name}-links")
-    ws.drop(f"{name}-pairs", f"{name}-places", f"{name}-sets")
-    return out
+    return map_rows(joined.select("a", "b", "x", "y"), check, "a long, b long")
+
+
+def _apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The pairs whose nodes are in different groups, with the groups as low and high."""
+    first = groups.select(F.col("node").alias("a"), F.col("component").alias("ga"))
+    second = groups.select(F.col("node").alias("b"), F.col("component").alias("gb"))
+    both = pairs.join(first, "a", "left").join(second, "b", "left")
+    ga, gb = F.coalesce("ga", "a"), F.coalesce("gb", "b")
+    return both.where(ga != gb).select(*pairs.columns, F.least(ga, gb).alias("low"), F.greatest(ga, gb).alias("high"))
 
 
-def _ordered(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Of candidate pairs (a, b) of nodes, those that sizes and bitmaps allow, the smaller set first."""
+def _joined_groups(groups: DataFrame, links: DataFrame, ws: Workspace, name: str) -> DataFrame:
+    known = groups.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    return ws.stage(components(known.unionByName(links), ws, f"{name}-parts"), name)
+
+
+def _allowed(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Of candidate pairs (a, b) of nodes, those that sizes and bitmaps allow."""
     left = nodes.select(F.col("node").alias("a"), F.struct("n", "band", "own", "low").alias("x"))
     right = nodes.select(F.col("node").alias("b"), F.struct("n", "band", "own", "low").alias("y"))
     both = pairs.join(left, "a").join(right, "b")
     turned = (F.col("x.n") > F.col("y.n"))
-    forward = both.where(~turned & _may_link("x", "y", percent)).select("a", "b")
-    return forward.unionByName(both.where(turned & _may_link("y", "x", percent)).select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    may = F.when(turned, _may_link("y", "x", percent)).otherwise(_may_link("x", "y", percent))
+    return both.where(may).select(*pairs.columns)
 
 
 def near_duplicates(docs: DataFrame, ws: Workspace, size: int = 4, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles and component_id of each row of ``docs``.
+    """doc_id, n_shingles and component_id of each row of ``docs``; see :func:`grouped_rows` for the rows' keys.
 
     Sets are of distinct n-grams of ``size`` words, A-Z lower-cased; two rows link when 100 * intersection is at
     least ``percent`` * union; component_id is the least doc_id reachable, the row's own included. A row without
     words (null and empty texts too) has n_shingles 0 and links with nothing. Rows of one doc_id are separate
     rows of their texts; a null doc_id is never the least where another is reachable.
     """
+    found = grouped_rows(docs, ws, size, percent)
+    least = found.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    return found.join(least, "component", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, ws: Workspace, size: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one row of each component: that of the least doc_id (null first), then of the least text hash.
+
+    Rows without words stay. Rows that repeat another's doc_id and text count once. All columns are kept.
+    """
+    found = grouped_rows(docs, ws, size, percent)
+    first = found.where("component is not null").groupBy("component").agg(F.min(F.struct("row_id", "text_key")).alias("first"))
+    keepers = ws.stage(
+        first.select("first.row_id", "first.text_key").unionByName(found.where("component is null").select("row_id", "text_key")).distinct(), "keepers"
+    )
+    own = [c for c in docs.columns if c != "text"]
+    row, body = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), F.coalesce("text", F.lit(""))
+    rows = docs.select(F.struct(*own).alias("own"), "text", row.alias("row_id"), F.xxhash64(body).alias("text_key"))
+    kept = rows.join(keepers, ["row_id", "text_key"], "left_semi").dropDuplicates(["row_id", "text_key"])
+    return kept.select("own.*", "text").select(*docs.columns)
+
+
+def grouped_rows(docs: DataFrame, ws: Workspace, size: int, percent: int) -> DataFrame:
+    """doc_id, row_id, text_key, n_shingles and component of each row; component is null for rows without words.
+
+    row_id is doc_id with null as the least long, text_key a hash of the text.
+    """
     keyed = _keyed(docs)
     described = ws.stage(_described(keyed, size, percent), "described")
     filled = described.where("n > 0")
@@ -206,39 +249,74 @@ def near_duplicates(docs: DataFrame, ws: Workspace, size: int = 4, percent: int
         "nodes",
     )
     # Stars: nodes of one least hash meet a centre that is chosen anew for each hash function.
+    # The centre is the node whose own least hashes are the most common: copies with few changes are near all others.
     keys = nodes.select("node", F.posexplode("stars").alias("turn", "least"))
-    centres = keys.groupBy("turn", "least").agg(F.min(F.struct(F.xxhash64("node", "turn").alias("rank"), F.col("node"))).alias("centre"))
+    sizes = ws.stage(keys.groupBy("turn", "least").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "sizes")
+    shared_keys = ws.stage(keys.join(sizes, ["turn", "least"]), "star-keys")
+    support = shared_keys.groupBy("node").agg(F.sum("size").alias("support"))
+    keys = ws.stage(shared_keys.join(support, "node").select("node", "turn", "least", "support"), "supported")
+    # Even turns take the best supported node, odd ones any node.
+    rank = F.when(F.col("turn") % 2 == 0, F.col("support")).otherwise(F.lit(0))
+    centres = keys.groupBy("turn", "least").agg(
+        F.max(F.struct(rank.alias("rank"), F.xxhash64("node", "turn").alias("tie"), F.col("node"))).alias("centre")
+    )
     centres = ws.stage(centres.select("turn", "least", F.col("centre.node").alias("b")), "centres")
-    stars = keys.join(centres, ["turn", "least"]).where("node != b").select(F.col("node").alias("a"), "b").distinct()
-    links = _linked(_ordered(stars, nodes, percent), keyed, nodes, size, percent, ws, "star")
-    groups = ws.stage(components(links, ws, "groups"), "groups")
+    met_stars = keys.join(centres, ["turn", "least"]).where("node != b").groupBy(F.col("node").alias("a"), "b").agg(F.min("turn").alias("turn"))
+    stars = ws.stage(_allowed(met_stars, nodes, percent), "stars")
+    sets = _sets(stars, keyed, nodes, size, ws, "star")
+    # First one centre for each node; what is still apart then meets its other centres.
+    own_star = stars.groupBy("a").agg(F.min(F.struct("turn", "b")).alias("s")).select("a", "s.b")
+    links = ws.stage(_linked(own_star, sets, percent), "links-1")
+    groups = ws.stage(components(links, ws, "groups-1-parts"), "groups-1")
+    links = ws.stage(_linked(_apart(stars, groups), sets, percent), "links-2")
+    groups = _joined_groups(groups, links, ws, "groups-2")
+    ws.drop("stars", "star-places", "star-sets", "centres", "sizes", "star-keys", "supported")
     # Tiles: n-grams of prefixes that more than one group has.
     frequent = _frequent(described)
     prefixes = ws.stage(_prefixes(keyed, size, percent, frequent), "prefixes")
     tokens = ws.stage(
         nodes.select("node", "row_id", "text_key").join(prefixes, ["row_id", "text_key"]).join(groups, "node", "left")
-        .select("node", F.coalesce("component", "node").alias("part"), F.explode("prefix").alias("gram")), "tokens",
+        .select("node", F.coalesce("component", "node").alias("part"), F.posexplode("prefix").alias("place", "gram")), "tokens",
     )
     ws.drop("prefixes")
     shared = ws.stage(
         tokens.groupBy("gram").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low != high").select("gram"), "shared"
     )
-    met = ws.stage(tokens.join(shared, "gram").distinct().join(nodes.drop("stars", "row_id", "text_key"), "node"), "met")
+    # Bitmaps travel with the rows of sets of ordinary size; those of very large sets are looked at once a pair.
+    none = F.array().cast("array<long>")
+    small = nodes.select("node", "n", "band", *(F.when(F.col("n") <= CARRIED, F.col(c)).otherwise(none).alias(c) for c in ("own", "low")))
+    met = ws.stage(tokens.join(shared, "gram").distinct().join(small, "node"), "met")
     ws.drop("tokens", "shared")
-    x = met.select("gram", F.col("band").alias("tile"), "part", "node", "n", "band", "own", "low").alias("x")
+    x = met.withColumn("tile", F.col("band")).alias("x")
     y = met.withColumn("tile", F.explode(F.array("band", F.col("band") - 1))).alias("y")
     order = (F.col("x.n") < F.col("y.n")) | (F.col("x.node") < F.col("y.node"))
     tiles = (F.col("x.gram") == F.col("y.gram")) & (F.col("x.tile") == F.col("y.tile")) & (F.col("x.part") != F.col("y.part"))
-    pairs = x.join(y, tiles & order & _may_link("x", "y", percent)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    more = _linked(pairs, keyed, nodes, size, percent, ws, "tile")
-    whole = components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more), ws, "whole")
+    # The first common n-gram leaves room for the overlap behind it in both sets.
+    total = percent * (F.col("x.n") + F.col("y.n"))
+    room = [(100 + percent) * (F.col(f"{k}.n") - F.col(f"{k}.place")) >= total for k in ("x", "y")]
+    sizes = (F.col("x.n") <= F.col("y.n")) & (100 * F.col("x.n") >= percent * F.col("y.n"))
+    large = (F.size("x.own") == 0) | (F.size("y.own") == 0)
+    near = x.join(y, tiles & order & sizes & room[0] & room[1] & F.when(large, F.lit(True)).otherwise(_may_link("x", "y", percent)))
+    candidates = ws.stage(near.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), "candidates")
+    pairs = ws.stage(_allowed(candidates, nodes, percent), "pairs")
+    ws.drop("candidates", "met")
+    sets = _sets(pairs, keyed, nodes, size, ws, "tile")
+    # One link joins two groups: some pairs of each two groups first, the rest only for groups still apart.
+    apart = _apart(pairs, groups)
+    picks = apart.groupBy("low", "high").agg(*(
+        F.min(F.struct(F.xxhash64("a", "b", F.lit(k)).alias("rank"), F.col("a"), F.col("b"))).alias(f"p{k}") for k in range(PICKS)
+    ))
+    picked = picks.select(F.explode(F.array(*(F.col(f"p{k}") for k in range(PICKS)))).alias("p")).select("p.a", "p.b").distinct()
+    links = ws.stage(_linked(picked, sets, percent), "links-3")
+    groups = _joined_groups(groups, links, ws, "groups-3")
+    links = ws.stage(_linked(_apart(pairs, groups), sets, percent), "links-4")
+    whole = _joined_groups(groups, links, ws, "groups-4")
     found = ws.stage(
-        described.select("doc_id", "node", F.col("n").alias("n_shingles")).join(whole, "node", "left")
+        described.select("doc_id", "row_id", "text_key", "node", F.col("n").alias("n_shingles")).join(whole, "node", "left")
         .withColumn("component", F.when(F.col("n_shingles") > 0, F.coalesce("component", "node"))), "found",
     )
-    ws.drop("described", "nodes", "centres", "groups", "met")
-    least = found.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return found.join(least, "component", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    ws.drop("described", "nodes", "pairs", "tile-places", "tile-sets")
+    return found
 
 
 ORACLE = r"""
@@ -251,8 +329,8 @@ n as (select doc_id, count(*) as n from g group by doc_id),
 few as (select doc_id, s from g join (select s from g group by s having count(*) > 1) using (s)),
 inter as (select a.doc_id as a, b.doc_id as b, count(*) as c from few a join few b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2),
 link as (select a, b from inter join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 85 * (x.n + y.n - c)),
-both as (select a, b from link union select b, a from link),
-reach(doc_id, r) as (select doc_id, doc_id from d union select reach.doc_id, both.b from reach join both on both.a = reach.r)
+pair as (select a, b from link union select b, a from link),
+reach(doc_id, r) as (select doc_id, doc_id from d union select reach.doc_id, pair.b from reach join pair on pair.a = reach.r)
 select d.doc_id, cast(coalesce(n.n, 0) as bigint) as n_shingles, min(r) as component_id
 from d left join n using (doc_id) join reach using (doc_id) group by 1, 2
 """
