@@ -39,10 +39,11 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
 _UP, _DOWN = _powers(_P, _CHUNK + 1), _powers(_P_INVERSE, _CHUNK + 1)
 
 
-def segment_keys(lines: list[np.ndarray], edits: int = EDITS) -> tuple[np.ndarray, np.ndarray]:
+def segment_keys(lines: list[np.ndarray], edits: int = EDITS, indexed_only: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Index keys (one for each segment) and probe keys of each line of code points, as two matrices.
 
-    A key is a hash of the indexed length, the segment's number and its characters.
+    A key is a hash of the indexed length, the segment's number and its characters. ``indexed_only`` leaves out
+    the probes that are not index keys.
     """
     lengths = np.array([len(x) for x in lines])
     codes = np.concatenate(lines).astype(np.uint64)
@@ -58,14 +59,15 @@ def segment_keys(lines: list[np.ndarray], edits: int = EDITS) -> tuple[np.ndarra
         return mix(text ^ mix(indexed.astype(np.uint64) * np.uint64(64) + np.uint64(number)))
 
     index, probe = [], []
-    for less in range(edits + 1):
+    for less in range(1 if indexed_only else edits + 1):
         indexed = lengths - less
         small, larger = indexed // (edits + 1), indexed % (edits + 1)
         at = np.zeros(len(lines), np.int64)
         for number in range(edits + 1):
             size = small + (number >= edits + 1 - larger)
             # Edits before the segment and after it bound how far it can have moved.
-            for move in range(max(-number, less - (edits - number)), min(number, less + (edits - number)) + 1):
+            moves = range(max(-number, less - (edits - number)), min(number, less + (edits - number)) + 1)
+            for move in (0,) if indexed_only else moves:
                 probe.append(key(indexed, number, at + move, size))
                 if less == 0 and move == 0:
                     index.append(probe[-1])
@@ -74,17 +76,17 @@ def segment_keys(lines: list[np.ndarray], edits: int = EDITS) -> tuple[np.ndarra
 
 
 def letter_counts(lines: list[np.ndarray]) -> np.ndarray:
-    """Counts of 16 classes of characters, each modulo 16, in one word."""
+    """Counts of 8 classes of characters, each modulo 16, in 32 bits."""
     owners = np.repeat(np.arange(len(lines)), [len(x) for x in lines])
-    classes = (mix(np.concatenate(lines).astype(np.uint64)) >> np.uint64(60)).astype(np.int64)
-    counts = np.bincount(owners * 16 + classes, minlength=16 * len(lines)).reshape(-1, 16).astype(np.uint64) & np.uint64(15)
-    return np.bitwise_or.reduce(counts << (np.arange(16, dtype=np.uint64) * np.uint64(4)), axis=1)
+    classes = (mix(np.concatenate(lines).astype(np.uint64)) >> np.uint64(61)).astype(np.int64)
+    counts = np.bincount(owners * 8 + classes, minlength=8 * len(lines)).reshape(-1, 8).astype(np.uint32) & np.uint32(15)
+    return np.bitwise_or.reduce(counts << (np.arange(8, dtype=np.uint32) * np.uint32(4)), axis=1)
 
 
 def _count_distance(a: Column, b: Column) -> Column:
     """Least sum of changes of the class counts; an edit changes it by at most two."""
     total = F.lit(0)
-    for k in range(16):
+    for k in range(8):
         d = F.shiftrightunsigned(a, 4 * k).bitwiseAND(F.lit(15)) - F.shiftrightunsigned(b, 4 * k).bitwiseAND(F.lit(15))
         d = F.abs(d)
         total = total + F.least(d, 16 - d)
@@ -155,47 +157,43 @@ def line_occurrences(docs: DataFrame) -> DataFrame:
     return trimmed.where("line != ''").select("*", F.xxhash64("line").alias("line_id"))
 
 
-def _keys(lines: DataFrame, edits: int) -> DataFrame:
-    """key, line_id, counts, indexed of each segment that a line indexes or probes."""
+def _keys(lines: DataFrame, edits: int, indexed: bool) -> DataFrame:
+    """key, number, counts of each segment that a line indexes, or of each that it probes."""
 
     def run(batch: pa.RecordBatch) -> dict:
         texts = [_code_points(x) for x in batch.column("line").to_pylist()]
-        ids = batch.column("line_id").to_numpy()
+        numbers = batch.column("number").to_numpy()
         outs, start = [], 0
         while start < len(texts):
             stop, held = start, 0
             while stop < len(texts) and (stop == start or held + len(texts[stop]) <= _CHUNK):
                 held += len(texts[stop])
                 stop += 1
-            part, own = texts[start:stop], ids[start:stop]
-            index, probe = segment_keys(part, edits)
-            counts = letter_counts(part)
-            for keys, indexed in ((index, True), (probe, False)):
-                outs.append((keys.ravel(), np.repeat(own, keys.shape[1]), np.repeat(counts, keys.shape[1]), np.full(keys.size, indexed)))
+            keys = segment_keys(texts[start:stop], edits, indexed)[0 if indexed else 1]
+            width = keys.shape[1]
+            outs.append((keys.ravel(), np.repeat(numbers[start:stop], width), np.repeat(letter_counts(texts[start:stop]), width)))
             start = stop
-        key, line, counts, indexed = (np.concatenate(x) for x in zip(*outs, strict=True))
-        return {"key": pa.array(signed(key)), "line_id": pa.array(line), "counts": pa.array(signed(counts)), "indexed": pa.array(indexed)}
+        key, number, counts = (np.concatenate(x) for x in zip(*outs, strict=True))
+        return {"key": pa.array(signed(key)), "number": pa.array(number), "counts": pa.array(counts.view(np.int32))}
 
-    return map_rows(lines.select("line_id", "line"), run, "key long, line_id long, counts long, indexed boolean")
+    return map_rows(lines.select("number", "line"), run, "key long, number long, counts int")
 
 
 def near_lines(lines: DataFrame, ws: Workspace, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """a, b: pairs of different lines (line_id, line; one row each) within the edit distance, each pair once.
+    """a, b: pairs of numbers of different lines (number, line; one row each) within the edit distance, each pair once.
 
     Lines shorter than ``min_chars`` code points, which must exceed ``edits`` * 4, link with nothing.
     """
     long = lines.where(F.length("line") >= max(min_chars, 4 * edits + 1))
-    keys = _keys(long, edits)
-    x = keys.where("indexed").alias("x")
-    y = keys.where("not indexed").alias("y")
-    meet = (F.col("x.key") == F.col("y.key")) & (F.col("x.line_id") != F.col("y.line_id"))
+    x, y = _keys(long, edits, True).alias("x"), _keys(long, edits, False).alias("y")
+    meet = (F.col("x.key") == F.col("y.key")) & (F.col("x.number") != F.col("y.number"))
     allowed = _count_distance(F.col("x.counts"), F.col("y.counts")) <= 2 * edits
-    a, b = F.least("x.line_id", "y.line_id").alias("a"), F.greatest("x.line_id", "y.line_id").alias("b")
+    a, b = F.least("x.number", "y.number").alias("a"), F.greatest("x.number", "y.number").alias("b")
     pairs = ws.stage(x.join(y, meet & allowed).select(a, b).distinct(), "pairs")
-    wanted = pairs.select(F.col("a").alias("line_id")).unionByName(pairs.select(F.col("b").alias("line_id"))).distinct()
-    texts = ws.stage(long.join(wanted, "line_id").select("line_id", "line"), "texts")
-    both = pairs.join(texts.select(F.col("line_id").alias("a"), F.col("line").alias("x")), "a").join(
-        texts.select(F.col("line_id").alias("b"), F.col("line").alias("y")), "b"
+    wanted = pairs.select(F.col("a").alias("number")).unionByName(pairs.select(F.col("b").alias("number"))).distinct()
+    texts = ws.stage(long.join(wanted, "number").select("number", "line"), "texts")
+    both = pairs.join(texts.select(F.col("number").alias("a"), F.col("line").alias("x")), "a").join(
+        texts.select(F.col("number").alias("b"), F.col("line").alias("y")), "b"
     )
 
     def check(batch: pa.RecordBatch) -> dict:
@@ -210,10 +208,18 @@ def line_classes(docs: DataFrame, ws: Workspace, edits: int = EDITS, min_chars:
     """(occurrences, classes): row_id, text_key, place, line_id of every line; line_id, component of linked lines."""
     every = line_occurrences(docs)
     occurrences = ws.stage(every.drop("line"), "occurrences")
-    lines = ws.stage(every.select("line_id", "line").dropDuplicates(["line_id"]), "lines")
+    distinct = every.select("line_id", "line").dropDuplicates(["line_id"])
+    # Numbers in a row take less room in the segment join than hashes.
+    lines = ws.stage(distinct.withColumn("number", F.monotonically_increasing_id()), "lines")
     links = ws.stage(near_lines(lines, ws, edits, min_chars), "links")
-    ws.drop("lines", "pairs", "texts")
-    return occurrences, ws.stage(components(links, ws, "lines-parts").withColumnRenamed("node", "line_id"), "classes")
+    ws.drop("pairs", "texts")
+    parts = components(links, ws, "lines-parts")
+    names = lines.select(F.col("number").alias("node"), "line_id")
+    # A component takes the hash of its first line, as lines without links have their own.
+    firsts = names.select(F.col("node").alias("component"), F.col("line_id").alias("class"))
+    classes = ws.stage(parts.join(names, "node").join(firsts, "component").select("line_id", F.col("class").alias("component")), "classes")
+    ws.drop("lines")
+    return occurrences, classes
 
 
 def remove_lines(
