@@ -22,8 +22,8 @@ from duewise.llm.registry import query
 EDITS = 2
 #: Shorter lines only meet equal lines: two edits would change much of them.
 MIN_CHARS = 30
-#: Lines of classes in fewer documents stay, but for repeats within a document.
-MIN_DOCUMENTS = 6
+#: One line stays of every class that two documents share. With a higher bound, of classes in fewer documents one in each.
+MIN_DOCUMENTS = 2
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 _P_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
