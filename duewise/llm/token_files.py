@@ -150,9 +150,9 @@ def records(content: bytes) -> Iterator[tuple[list[int | None], np.ndarray, np.n
 class WordEncoder:
     """Ids of whole texts by the tokenizers library.
 
-    The tokenizer drops white space before its merges and lower-cases, so a text's ids are those of its
-    lower-cased parts between ASCII white space, one after another. A part of a word and signs falls into its
-    pre-tokens the same way. Parts and words met before come from bounded caches.
+    The tokenizer drops white space before its merges and lower-cases, so a text's ids are those of its parts
+    between ASCII white space, one after another. A part is normalised and then split, as the library does; what
+    the split does not cover goes to the library whole. Parts and words met before come from bounded caches.
     """
 
     KEEP = 300_000
@@ -172,25 +172,25 @@ class WordEncoder:
         self.words: dict[str, bytes] = {}
 
     def _split(self, part: str) -> list[str] | None:
-        """The pre-tokens of a part where they are plain to see; else None."""
-        if any(s in part for s in self.special):
-            return None
+        """The pre-tokens of a normalised part where they are plain to see; else None."""
         if self._VISIBLE.fullmatch(part):
             return self._ASCII.findall(part)
         signed = self._SIGNED.fullmatch(part)
         return [w for w in signed.groups() if w] if signed and signed[1].isalpha() else None
 
     def _word(self, word: str) -> bytes:
-        """Ids of one pre-token, by the library's normaliser and merges."""
+        """Ids of one pre-token of normalised text, by the library's merges."""
         found = self.words.get(word)
         if found is None:
-            plain = word if word.isascii() else self.tokenizer.normalizer.normalize_str(word).encode().decode("latin-1").translate(self.letters)
+            plain = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
             found = self.words[word] = np.array([t.id for t in self.tokenizer.model.tokenize(plain)], np.uint32).tobytes()
         return found
 
     def _part(self, part: bytes) -> bytes:
         text = part.decode("utf-8", "replace")
-        words = self._split(text)
+        words = None
+        if not any(s in text.lower() for s in self.special):
+            words = self._split(text.lower() if text.isascii() else self.tokenizer.normalizer.normalize_str(text))
         if words is None:
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
         return b"".join([self._word(w) for w in words])
