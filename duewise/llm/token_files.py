@@ -327,7 +327,10 @@ def with_starts(spark: SparkSession, rows: DataFrame) -> DataFrame:
 
     One row per file (tens of MB each) goes through a running sum; documents only meet their file's row.
     """
-    number = [F.regexp_extract("file", r"part-(\d+)", 1).cast("long"), F.regexp_extract("file", r"-c(\d+)", 1).cast("long")]
+    # Folder names and the job's UUID may hold the same patterns.
+    number = [
+        F.regexp_extract("file", r"/part-(\d+)-[^/]*$", 1).cast("long"), F.regexp_extract("file", r"-c(\d+)(?:\.[^/]*)?$", 1).cast("long")
+    ]
     totals = rows.groupBy("file").agg(F.sum("n_tokens").alias("held"))
     order = Window.orderBy(*number).rowsBetween(Window.unboundedPreceding, -1)
     firsts = totals.select("file", F.coalesce(F.sum("held").over(order), F.lit(0)).alias("before"))
