@@ -106,10 +106,17 @@ _PART = re.compile(rf"(?:{_WORD}|[0-9]+)", re.I)
 _OPEN, _CLOSE = r"[\[({<]\s?", r"\s?[\])}>]"
 _AT = re.compile(rf"\s?(?:{_OPEN}(?:at|@){_CLOSE})\s?", re.I)
 _DOT = re.compile(rf"\s?(?:{_OPEN}(?:dot|\.){_CLOSE})\s?", re.I)
-_BARE = re.compile(
-    r"(?<![\w.@-])([A-Za-z0-9._%+-]+)(\s(?:at|@)\s|\s?@\s?)((?:[A-Za-z0-9-]+\s(?:dot|\.)\s)+)([A-Za-z]{2,})(?![\w-])", re.I
+_ATOM = r"[A-Za-z0-9_%+-][A-Za-z0-9._%+-]*+"
+_LABELS = r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*+"
+_ANY_DOT = rf"(?:\s?{_OPEN}(?:dot|\.){_CLOSE}\s?|\s(?:dot|\.)\s)"
+_ANY_AT = rf"(?:\s?{_OPEN}(?:at|@){_CLOSE}\s?|\sat\s|\s?@\s?)"
+_INNER_DOT = re.compile(_ANY_DOT, re.I)
+# A whole local part, and the at and the host where they follow; what it looks ahead to is free for the next match.
+_ADDRESS = re.compile(
+    rf"{_ATOM}(?:{_ANY_DOT}{_ATOM})*+(?:(?=(?P<at>{_ANY_AT})(?P<host>{_LABELS}(?:{_ANY_DOT}{_LABELS})*+)(?P<more>{_ANY_AT}[A-Za-z0-9]|[_%+])?))?", re.I
 )
-_BARE_DOT = re.compile(r"\s(?:dot|\.)\s", re.I)
+_TOP = re.compile(r"[A-Za-z]{2,}")
+_SPACED = re.compile(r"\s@|@\s|\s\.\s")
 _BRACKETED = re.compile(rf"{_OPEN}(?:at|@|dot|\.){_CLOSE}", re.I)
 
 Edit = tuple[int, int, str]
@@ -153,17 +160,43 @@ def _digit_edits(text: str) -> list[Edit]:
     return edits
 
 
+def _address_edits(text: str) -> Iterator[Edit]:
+    """Signs of addresses in which each at and dot may be plain, spaced, a bare word or in brackets."""
+    free = 0
+    for m in _ADDRESS.finditer(text):
+        # A host with another at or a sign of local parts behind it belongs to a later address.
+        if m["at"] is None or m["more"] or m.start() < free:
+            continue
+        dots = [d.span() for d in _INNER_DOT.finditer(text, *m.span("host"))]
+        bounds = [m.start("host"), *(x for d in dots for x in d), m.end("host")]
+        pieces = [text[a:b] for a, b in zip(bounds[::2], bounds[1::2], strict=True)]
+        # What follows the last name that can end a host is not part of it.
+        while dots and not _TOP.fullmatch(pieces[-1].rpartition(".")[2]):
+            pieces.pop()
+            dots.pop()
+        labels = ".".join(pieces).split(".")
+        while len(labels) > 1 and not _TOP.fullmatch(labels[-1]):
+            labels.pop()
+        # A bare at before a host in plain form is prose: shop at example.com.
+        if len(labels) < 2 or (m["at"].strip().lower() == "at" and not dots):
+            continue
+        start = m.start()
+        inner = [d.span() for d in _INNER_DOT.finditer(text, start, m.start("at"))]
+        if start and text[start - 1] == "@":
+            # The first piece is the end of a plain address in front.
+            inner = inner[1:]
+        edits = [(*m.span("at"), "@"), *((a, b, ".") for a, b in inner + dots)]
+        free = m.end("host")
+        yield from (e for e in edits if text[e[0] : e[1]] != e[2])
+
+
 def _sign_edits(text: str) -> list[Edit]:
     edits = [(*m.span(), "@") for m in _AT.finditer(text)] + [(*m.span(), ".") for m in _DOT.finditer(text)]
-    for m in _BARE.finditer(text):
-        edits.append((*m.span(2), "@"))
-        edits += [(*d.span(), ".") for d in _BARE_DOT.finditer(text, *m.span(3))]
+    edits += _address_edits(text)
     edits.sort()
     return [e for k, e in enumerate(edits) if not k or e[0] >= edits[k - 1][1]]
 
 
-
-
 def disguised(text: str, plain: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """Spans of disguised identifiers that meet no plain one of their kind, in offsets of ``text``."""
     map_ = None
@@ -171,7 +204,7 @@ def disguised(text: str, plain: list[tuple[str, int, int]]) -> list[tuple[str, i
     for edits_of in (_character_edits, _digit_edits, _sign_edits):
         if edits_of is _character_edits and new.isascii():
             continue
-        if edits_of is _sign_edits and not (_BRACKETED.search(new) or "dot" in new.lower() or " @" in new or "@ " in new):
+        if edits_of is _sign_edits and not (_BRACKETED.search(new) or "dot" in new.lower() or _SPACED.search(new)):
             continue
         edits = edits_of(new)
         if edits:
