@@ -1,12 +1,14 @@
-"""Removal of long word sequences that occur more than once, by relative Lempel-Ziv parsing.
+"""Removal of long word sequences that occur more than once, by content-defined blocks.
+
+Blocks stand in for relative Lempel-Ziv parsing: no document is factored greedily against a reference and no
+factor is extended, since blocks and windows meet by equi-joins that need no sequential pass over a reference.
 
 The reference is the corpus itself, cut into content-defined blocks: of every window of ``WINDOW`` words the
 12-gram of least hash is its anchor, and the windows in a row with one anchor form a block together with the
 words they reach. Equal windows have equal anchors, so a document meets only reference blocks of its anchors.
 
-Parsing is greedy: a block that occurs elsewhere as a whole is a factor, and adjacent factors join, so that the
-parse follows a repeated passage as far as whole blocks match. At a factor's boundaries, where the words differ
-soon after, single windows are looked up among those of the reference blocks with the same anchor.
+A block that occurs elsewhere as a whole is found by its anchor and content. Every other window whose anchor is
+shared is looked up by itself among those of the blocks with the same anchor.
 Hashes have 64 bits; a block is compared by two of them, and windows only after their anchor has matched.
 """
 
