@@ -11,7 +11,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 #: Operator modules, by number.
-MODULES = ("token_files", "byte_bpe", "decontamination", "personal_data", "quality_rules", "quality_model", "toxicity", "substring_dedup", "ngram_join", "line_dedup")
+MODULES = ("token_files", "byte_bpe", "decontamination", "personal_data", "quality_rules", "quality_model", "toxicity", "substring_dedup", "ngram_join", "line_dedup", "language_model", "hard_negatives", "phrases")
 
 
 def query(name: str, oracle: str | None = None):
