@@ -33,6 +33,8 @@ START, RARE, END = 0, 1, 2
 CONTEXT, DIM = 2, 32
 #: Noise words drawn for a minibatch, and how many of them count for each true word.
 NOISE, NOISE_PER_WORD = 64, 16
+#: Contexts whose scores of all words are held at a time.
+BLOCK = 2048
 MINIBATCH, RATE, START_SLOPE = 4096, 0.05, 1e-6
 #: Words with at least this share of all tokens are looked up in the tasks: no more than 2^19 words, whose bytes are at
 #: most 2^19 times the mean bytes of a token. All other words meet their counts in a join.
@@ -154,15 +156,28 @@ class LogBilinear:
         return sum(v["context"][before[:, k]] * v["position"][k] for k in range(CONTEXT))
 
     def log_probabilities(self, before: np.ndarray, words: np.ndarray) -> np.ndarray:
-        """Natural logarithm of each word's normalised probability after its previous words."""
-        keys, inverse = np.unique(before @ (len(self.values["bias"]) ** np.arange(CONTEXT)), return_inverse=True)
-        first = np.empty(len(keys), np.int64)
-        first[inverse[::-1]] = np.arange(len(inverse) - 1, -1, -1)
-        scores = self.predict(before[first]) @ self.values["outcome"].T + self.values["bias"]
-        scores[:, START] = -np.inf
-        top = scores.max(1)
-        norm = top + np.log(np.exp(scores - top[:, None]).sum(1))
-        return (scores[inverse, words] - norm[inverse]).astype(np.float64)
+        """Natural logarithm of each word's normalised probability after its previous words.
+
+        Normalisers are made once per distinct context of all the words given, a block of contexts at a time.
+        """
+        v = self.values
+        keys, inverse = np.unique(before @ (len(v["bias"]) ** np.arange(CONTEXT)), return_inverse=True)
+        place = np.empty(len(keys), np.int64)
+        place[inverse] = np.arange(len(inverse))
+        predicted = self.predict(before[place])
+        outcome, bias, norm = v["outcome"][1:].T.copy(), v["bias"][1:], np.empty(len(keys), np.float32)
+        for a in range(0, len(keys), BLOCK):
+            scores = predicted[a : a + BLOCK] @ outcome
+            scores += bias
+            top = scores.max(1)
+            scores -= top[:, None]
+            np.exp(scores, out=scores)
+            norm[a : a + BLOCK] = top + np.log(scores.sum(1))
+        own = np.empty(len(words), np.float32)
+        for a in range(0, len(words), BLOCK):
+            at, word = inverse[a : a + BLOCK], words[a : a + BLOCK]
+            own[a : a + BLOCK] = np.einsum("ij,ij->i", predicted[at], v["outcome"][word]) + v["bias"][word]
+        return (own - norm[inverse]).astype(np.float64)
 
 
 def _sum_rows(index: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -322,10 +337,7 @@ def score_texts(docs: DataFrame, counts: DataFrame, lexicon: Lexicon, model: Log
                 found, sizes, outside = _numbered(texts_of(part), index, unknown)
                 numbers = lex.numbers[found]
                 before = _contexts(numbers, sizes)
-                scores = np.empty(len(numbers))
-                for a in range(0, len(numbers), MINIBATCH):
-                    b = a + MINIBATCH
-                    scores[a:b] = bilinear.log_probabilities(before[a:b], numbers[a:b])
+                scores = bilinear.log_probabilities(before, numbers)
                 first = np.cumsum(sizes) - sizes
                 tallies = [Counter(words) for words in outside]
                 lengths = [len(t) for t in tallies]
