@@ -159,6 +159,10 @@ class Bitmap:
         bit = _bit(keys)
         return (bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 != 0
 
+    def close(self) -> None:
+        """Free the bitmap; the tables counted by it are written."""
+        self.shared.destroy()
+
 
 def _bit(keys: np.ndarray) -> np.ndarray:
     return (keys >> np.uint64(64 - BITS)).astype(np.int64)
@@ -315,6 +319,8 @@ def find_phrases(docs: DataFrame, ws: Workspace, returned: int = RETURNED) -> Da
     pairs = ws.stage(count_pairs(docs, seed, word_bits).where(F.col("n") >= LEAST), "pairs")
     pair_bits = Bitmap(pairs.select("w1", "w2"), ("pairs", ws.path("pairs")))
     longer = ws.stage(count_longer(docs, seed, word_bits, pair_bits).where(F.col("n") >= LEAST), "longer")
+    word_bits.close()
+    pair_bits.close()
     none = lambda *names: [F.lit(0).cast("long").alias(c) for c in names]
     stream = ws.stage(
         frequent.select(key.alias("w1"), *none("w2", "w3", "w4"), "n")
