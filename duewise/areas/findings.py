@@ -71,6 +71,7 @@ CHANGE_SQL = """
 
 
 def register() -> None:
+    add("state_loan_changes", ds.loan_changes, "SELECT * FROM loan_change", cumulative_repaid=4)
     add("state_loan_daily", ds.loan_daily_state, "SELECT * FROM loan_daily_state", cumulative_repaid=4)
     add("state_case_daily", ds.case_daily_state, "SELECT * FROM case_daily_state")
     add("state_customer_daily", ds.customer_daily_state, "SELECT * FROM customer_daily_state")

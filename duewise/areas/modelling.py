@@ -13,7 +13,7 @@ from duewise.plans import features as ft
 from duewise.plans import models as md
 
 LOANS = ("dws_loan_status_snapshot_di",)
-STATES = ("dws_loan_status_snapshot_di", "ods_loan_daily_snapshot")
+STATES = ("dws_loan_status_snapshot_di",)
 
 
 def scored_labels(wh):
@@ -87,7 +87,7 @@ def register() -> None:
     add("features_dataset_summary", lambda wh: ft.dataset_summary(ft.dataset(wh)), """
         SELECT count(*) AS sample_count, avg(is_recovered_d7) AS positive_rate, 39 AS feature_count, 'any_payment' AS target,
                'is_recovered_d7' AS target_column, false AS exclude_time_batch FROM model_dataset""", shared=LOANS, positive_rate=6)
-    add("features_state_targets", lambda wh: ft.state_targets(wh, ft.observations(wh)).drop("case_id"), "SELECT * FROM state_target",
+    add("features_state_targets", lambda wh: ft.state_targets(wh, ft.observations(wh)), "SELECT * FROM state_target",
         shared=STATES, repaid_amount_d7=4, outstanding_reduction_d7=4, outstanding_reduction_rate_d7=6,
         case_outstanding_at_observation=4, case_outstanding_at_d7=4, customer_total_outstanding_at_observation=4,
         customer_total_outstanding_at_d7=4)

@@ -103,6 +103,40 @@ def asof_join(
     return left.join(answers, [*keys, left_time], "left")
 
 
+def asof_anchors(
+    points: DataFrame,
+    history: DataFrame,
+    keys: Sequence[str],
+    times: dict[str, str],
+    history_time: str,
+    values: Sequence[str],
+    identity: Sequence[str],
+    slice_unit: str = "month",
+) -> DataFrame:
+    """``identity``, ``anchor`` and a struct of ``values`` (null when none) for several times of each point at once.
+
+    One timeline per key carries all anchors of all its points and the history, and one window answers them:
+    the latest history row at or before the anchor, of equal times the greatest values. Timelines are cut at
+    calendar slices that begin with the value carried over, so a key with many points is spread over tasks.
+    Points without a key or a time have no answer row.
+    """
+    keys, found = list(keys), F.struct(*(F.col(c).alias(c) for c in values))
+    anchors = F.array(*(F.struct(F.lit(name).alias("anchor"), F.to_date(at).alias("_t")) for name, at in times.items()))
+    asked = points.select(*identity, *keys, F.inline(anchors)).dropna(subset=[*keys, "_t"]).withColumn("_side", F.lit(2))
+    known = history.dropna(subset=[*keys, history_time]).select(
+        *keys, F.to_date(history_time).alias("_t"), found.alias("_payload"), F.lit(1).alias("_side")
+    )
+    rows = asked.unionByName(known, allowMissingColumns=True).withColumn("_slice", F.trunc("_t", slice_unit))
+    slices = rows.groupBy(*keys, "_slice").agg(F.max(F.when(F.col("_side") == 1, F.struct("_t", "_payload"))).alias("_latest"))
+    earlier = W.partitionBy(*keys).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+    carried = slices.select(*keys, "_slice", F.last("_latest", ignorenulls=True).over(earlier).alias("_latest")).filter("_latest is not null")
+    rows = rows.unionByName(carried.select(*keys, "_slice", "_latest._payload", F.lit(0).alias("_side")), allowMissingColumns=True)
+    upto = W.partitionBy(*keys, "_slice").orderBy(F.col("_t").asc_nulls_first(), "_side", "_payload").rowsBetween(W.unboundedPreceding, W.currentRow)
+    return rows.withColumn("_found", F.last("_payload", ignorenulls=True).over(upto)).filter("_side = 2").select(
+        *identity, "anchor", F.col("_found").alias("state")
+    )
+
+
 def trailing_features(
     anchors: DataFrame,
     facts: DataFrame,

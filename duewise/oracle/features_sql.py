@@ -53,9 +53,13 @@ CTES.update({
 for _suffix, _at in _STATE.items():
     CTES.update({
         f"loan_at_{_suffix}": f"""
-            SELECT k.loan_id, s.stat_date AS snapshot_date, dpd, outstanding_amount, loan_status
-            FROM state_key k JOIN loan_daily_state s ON s.loan_id = k.loan_id AND s.stat_date <= k.{_at}
-            QUALIFY row_number() OVER (PARTITION BY k.loan_id ORDER BY s.stat_date DESC) = 1""",
+            SELECT loan_id, snapshot_date, outstanding_amount, CASE WHEN outstanding_amount <= 0 THEN 0 ELSE days END AS dpd,
+                   CASE WHEN outstanding_amount <= 0 THEN 'closed' WHEN days = 0 THEN 'current' WHEN days <= 30 THEN 'overdue' ELSE 'in_collection' END AS loan_status
+            FROM (SELECT k.loan_id, any_value(k.{_at}) AS snapshot_date, CAST(any_value(k.{_at} - p.due_date) AS INTEGER) AS days,
+                         round(greatest(any_value(due_amount) - coalesce(sum(repay_amount), 0.0), 0.0), 2) AS outstanding_amount
+                  FROM state_key k JOIN ods_repayment_plan p ON p.loan_id = k.loan_id AND p.due_date <= k.{_at}
+                  LEFT JOIN dwd_repayment_detail_di r ON r.loan_id = k.loan_id AND r.repay_date <= k.{_at} AND r.repay_status = 'SUCCESS'
+                  GROUP BY 1)""",
         f"case_at_{_suffix}": f"""
             SELECT k.loan_id, dpd_bucket, outstanding_amount, case_status
             FROM state_key k JOIN ods_case_daily_snapshot s ON s.case_id = k.case_id AND s.stat_date <= k.{_at}
@@ -73,7 +77,7 @@ CTES.update({
                CAST(coalesce(dpd_at_d7 = 0 AND outstanding_reduction_d7 > 0 AND repaid_amount_d7 > 0, false) AS INTEGER) AS is_state_recovered_d7,
                CAST(coalesce(outstanding_at_observation > 0 AND outstanding_at_d7 <= 0.01, false) AS INTEGER) AS is_fully_recovered_d7,
                CAST(coalesce(case_status_at_d7 IN ('cured', 'closed'), false) OR coalesce(case_outstanding_at_d7 <= 0.01, false) AS INTEGER) AS case_cured_d7
-        FROM (SELECT k.loan_id, k.customer_id, k.observation_date, d7_end_date, repaid_amount_d7,
+        FROM (SELECT k.loan_id, k.customer_id, k.case_id, k.observation_date, d7_end_date, repaid_amount_d7,
                      lo.snapshot_date AS snapshot_date_observation, l7.snapshot_date AS snapshot_date_d7,
                      lo.dpd IS NOT NULL AS loan_state_observation_available, l7.dpd IS NOT NULL AS loan_state_d7_available,
                      lo.dpd AS dpd_at_observation, l7.dpd AS dpd_at_d7, lo.outstanding_amount AS outstanding_at_observation,

@@ -15,10 +15,19 @@ CTES.update({
               FROM (SELECT s.stat_date, s.loan_id, any_value(s.customer_id) AS customer_id, any_value(due_date) AS due_date,
                            coalesce(sum(repay_amount), 0.0) AS cumulative_repaid,
                            round(greatest(any_value(due_amount) - coalesce(sum(repay_amount), 0.0), 0.0), 2) AS outstanding_amount
-                    FROM (SELECT p.*, due_date + CAST(k AS INTEGER) AS stat_date FROM ods_repayment_plan p, range(75) t(k)) s
+                    FROM (SELECT p.*, d.stat_date FROM ods_repayment_plan p JOIN (SELECT DISTINCT stat_date FROM ods_case_daily_snapshot) d ON p.due_date <= d.stat_date) s
                     LEFT JOIN dwd_repayment_detail_di r ON r.loan_id = s.loan_id AND r.repay_date <= s.stat_date
                           AND r.repay_status = 'SUCCESS'
                     GROUP BY s.stat_date, s.loan_id))""",
+    "loan_change": """
+        SELECT loan_id, customer_id, due_date, greatest(day, due_date) AS valid_from, valid_to, cumulative_repaid,
+               round(greatest(due_amount - cumulative_repaid, 0.0), 2) AS outstanding_amount
+        FROM (SELECT loan_id, p.customer_id, p.due_date, p.due_amount, day, lead(day) OVER w AS valid_to, sum(paid) OVER w AS cumulative_repaid
+              FROM (SELECT loan_id, day, sum(paid) AS paid
+                    FROM (SELECT loan_id, repay_date AS day, repay_amount AS paid FROM dwd_repayment_detail_di WHERE repay_status = 'SUCCESS'
+                          UNION ALL SELECT loan_id, due_date, 0.0 FROM ods_repayment_plan) GROUP BY 1, 2)
+              JOIN ods_repayment_plan p USING (loan_id) WINDOW w AS (PARTITION BY loan_id ORDER BY day))
+        WHERE valid_to IS NULL OR valid_to > due_date""",
     "active_case_loan": """
         SELECT l.stat_date, l.loan_id, dpd, outstanding_amount, cumulative_repaid, c.*, CAST(case_create_time AS DATE) AS case_create_date
         FROM loan_daily_state l JOIN dim_case_loan_mapping m ON l.loan_id = m.loan_id JOIN dim_case c ON c.case_id = m.case_id

@@ -1,68 +1,112 @@
-"""Day-by-day state of loans, cases and customers, rebuilt from plans and repayments."""
+"""State of loans, cases and customers over time, rebuilt from plans and repayments.
+
+Loan states are kept interval-coded: one row per change, valid over a half-open range of dates. Rows grow with
+payments, never with days; days are made only for the dates that a caller asks for.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from duewise.functions.buckets import dpd_bucket
 from duewise.functions.rates import clip
 
-#: Dates of a loan's panel, from its due date on: past the 60th day, so that M3 and its followers occur too.
-STATE_DAYS = 75
-
 
-def loan_spine(plan: DataFrame, days: int = STATE_DAYS) -> DataFrame:
-    """``days`` dates per loan, starting at its due date."""
-    return plan.select(
-        "loan_id", F.explode(F.sequence(F.to_date("due_date"), F.date_add(F.to_date("due_date"), days - 1))).alias("stat_date")
-    )
+def panel(wh) -> tuple[Column, Column]:
+    """First and last date of the daily panel: what the source states, else the range of the case snapshots."""
+    stated = getattr(wh.source, "panel", None)
+    if stated is not None:
+        return stated
+    dates = wh["ods_case_daily_snapshot"].select(F.to_date("stat_date").alias("d"))
+    return dates.agg(F.min("d")).scalar(), dates.agg(F.max("d")).scalar()
 
 
-def loan_daily_state(wh, spine: DataFrame | None = None) -> DataFrame:
-    """Outstanding, days past due, bucket and status for each (date, loan) of the spine.
+def loan_changes(wh) -> DataFrame:
+    """One row per loan and change of what has been repaid, from the due date on: ``[valid_from, valid_to)``.
 
-    Repayments shrink to one row per loan and day and meet the spine on one timeline, where a running sum
-    gives the amount repaid to date. Only successful repayments count, so outstanding never rises.
+    The last row of a loan has a null ``valid_to`` and holds for good. Payments made before the due date count in
+    the first row. Only successful repayments count, so outstanding never rises; payments without a plan are left out.
     """
-    plan = wh["ods_repayment_plan"].groupBy("loan_id").agg(
-        F.min("customer_id").alias("customer_id"),
-        F.min(F.to_date("due_date")).alias("due_date"),
-        F.sum("due_amount").alias("due_amount"),
-    )
-    wanted = (loan_spine(plan) if spine is None else spine).select("loan_id", "stat_date", F.lit(1).alias("_wanted"))
+    plan = wh["ods_repayment_plan"].groupBy("loan_id").agg(F.struct(
+        F.min("customer_id").alias("customer_id"), F.min(F.to_date("due_date")).alias("due_date"), F.sum("due_amount").alias("due_amount"),
+    ).alias("_plan"))
     paid = wh["dwd_repayment_detail_di"].filter(F.col("repay_status") == "SUCCESS").select(
-        "loan_id", F.col("repay_date").alias("stat_date"), F.col("repay_amount").alias("_paid")
+        "loan_id", F.col("repay_date").alias("_day"), F.col("repay_amount").alias("_paid")
     )
-    timeline = (
-        paid.unionByName(wanted, allowMissingColumns=True)
-        .groupBy("loan_id", "stat_date")
-        .agg(F.coalesce(F.sum("_paid"), F.lit(0.0)).alias("_paid"), F.max("_wanted").alias("_wanted"))
+    events = (
+        paid.unionByName(plan.select("loan_id", F.col("_plan.due_date").alias("_day"), "_plan"), allowMissingColumns=True)
+        .dropna(subset=["loan_id", "_day"])
+        .groupBy("loan_id", "_day").agg(F.coalesce(F.sum("_paid"), F.lit(0.0)).alias("_paid"), F.max("_plan").alias("_plan"))
     )
-    to_date = W.partitionBy("loan_id").orderBy("stat_date").rowsBetween(W.unboundedPreceding, W.currentRow)
-    state = (
-        timeline.withColumn("cumulative_repaid", F.sum("_paid").over(to_date))
-        .filter(F.col("_wanted").isNotNull())
-        .join(plan, "loan_id")
-        .withColumn("outstanding_amount", F.round(clip(F.col("due_amount") - F.col("cumulative_repaid"), 0.0), 2))
-        .withColumn(
-            "dpd",
-            F.when(F.col("outstanding_amount") <= 0, F.lit(0)).otherwise(
-                F.greatest(F.datediff("stat_date", "due_date"), F.lit(0))
-            ),
-        )
+    by_day = W.partitionBy("loan_id").orderBy("_day")
+    to_date = by_day.rowsBetween(W.unboundedPreceding, W.currentRow)
+    coded = events.select(
+        "loan_id", "_day", F.sum("_paid").over(to_date).alias("cumulative_repaid"), F.lead("_day").over(by_day).alias("valid_to"),
+        F.max("_plan").over(W.partitionBy("loan_id")).alias("_plan"),
     )
-    status = (
-        F.when(F.col("outstanding_amount") <= 0, "closed").when(F.col("dpd") == 0, "current")
-        .when(F.col("dpd") <= 30, "overdue").otherwise("in_collection")
+    owed = clip(F.col("_plan.due_amount") - F.col("cumulative_repaid"), 0.0)
+    return coded.filter(F.col("_plan").isNotNull() & (F.col("valid_to").isNull() | (F.col("valid_to") > F.col("_plan.due_date")))).select(
+        "loan_id", "_plan.customer_id", "_plan.due_date", F.greatest("_day", "_plan.due_date").alias("valid_from"), "valid_to",
+        "cumulative_repaid", F.round(owed, 2).alias("outstanding_amount"),
     )
-    return state.select(
+
+
+def holds_on(date: Column | str) -> Column:
+    """Whether a change is the one in force on ``date``."""
+    day = F.col(date) if isinstance(date, str) else date
+    return (F.col("valid_from") <= day) & (F.col("valid_to").isNull() | (day < F.col("valid_to")))
+
+
+def dpd_on(date: Column | str) -> Column:
+    """Days past due on a date; 0 where nothing is owed."""
+    return F.when(F.col("outstanding_amount") <= 0, F.lit(0)).otherwise(F.greatest(F.datediff(date, "due_date"), F.lit(0)))
+
+
+def status_of(dpd: Column | str) -> Column:
+    days = F.col(dpd) if isinstance(dpd, str) else dpd
+    return (
+        F.when(F.col("outstanding_amount") <= 0, "closed").when(days == 0, "current")
+        .when(days <= 30, "overdue").otherwise("in_collection")
+    )
+
+
+def loan_daily_state(wh, first: Column | None = None, last: Column | None = None) -> DataFrame:
+    """Outstanding, days past due, bucket and status of every loan on each date from ``first`` to ``last`` that is not
+    before its due date; the panel's dates by default."""
+    start, end = panel(wh)
+    start, end = start if first is None else first, end if last is None else last
+    changes = loan_changes(wh)
+    begins = F.greatest("valid_from", start)
+    ends = F.least(F.coalesce(F.date_sub("valid_to", 1), end), end)
+    days = (
+        changes.filter(begins <= ends).select("*", F.explode(F.sequence(begins, ends)).alias("stat_date"))
+        .withColumn("dpd", dpd_on("stat_date"))
+    )
+    return days.select(
         "stat_date", "loan_id", "customer_id", "dpd", dpd_bucket("dpd").alias("dpd_bucket"), "outstanding_amount",
-        status.alias("loan_status"), "cumulative_repaid",
+        status_of("dpd").alias("loan_status"), "cumulative_repaid",
     )
 
 
+def loan_states_at(wh, asked: DataFrame, dates: dict[str, str]) -> DataFrame:
+    """loan_id and a struct (snapshot_date, dpd, outstanding_amount, loan_status) for each of several dates per loan.
+
+    ``asked`` has one row per loan, ``dates`` names its date columns. A loan has a state on every date from its
+    due date on, so the state is that of the date itself; before, the struct is null. No panel is made.
+    """
+    rows = asked.select("loan_id", *dates.values()).join(loan_changes(wh), "loan_id")
+    states = {
+        suffix: F.max(F.when(holds_on(at), F.struct(
+            F.col(at).alias("snapshot_date"), dpd_on(at).alias("dpd"), F.col("outstanding_amount").alias("outstanding_amount"),
+            status_of(dpd_on(at)).alias("loan_status"),
+        ))).alias(suffix)
+        for suffix, at in dates.items()
+    }
+    return rows.groupBy("loan_id").agg(*states.values())
+
+
 def active_case_loans(wh, loans: DataFrame) -> DataFrame:
     """Loan states attached to cases that exist on that date; the customer is the case's."""
     case = wh["dim_case"].select(

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from duewise.functions.dates import days_between, parse_date
 from duewise.functions.rates import clean, clip, log_amount, rate_or_zero
-from duewise.operators.joins import asof_join, assert_unique, trailing_features
+from duewise.operators.joins import asof_anchors, asof_join, assert_unique, trailing_features
 from duewise.operators.ordering import dedupe, latest_per_key
+from duewise.plans.daily_state import loan_states_at
 
 # The five lists below are fixed values.
 FEATURE_COLUMNS = [
@@ -172,39 +173,31 @@ def state_targets(wh, base: DataFrame) -> DataFrame:
     keyed = base.select("loan_id", "customer_id", "observation_date", "repaid_amount_d7").withColumn(
         "d7_end_date", F.date_add("observation_date", WINDOW_DAYS)
     ).join(main_mapping(wh), "loan_id", "left")
-    loan = wh["ods_loan_daily_snapshot"].withColumn("snapshot_date", F.col("stat_date"))
-    case, customer = wh["ods_case_daily_snapshot"], wh["ods_customer_daily_snapshot"]
-    out = keyed
-    for suffix, at in (("observation", "observation_date"), ("d7", "d7_end_date")):
-        out = asof_join(
-            out, loan.select(
-                "loan_id", "stat_date", F.col("snapshot_date").alias(f"snapshot_date_{suffix}"),
-                F.col("dpd").alias(f"dpd_at_{suffix}"), F.col("outstanding_amount").alias(f"outstanding_at_{suffix}"),
-                F.col("loan_status").alias(f"loan_status_at_{suffix}"),
-            ),
-            ["loan_id"], at, "stat_date",
-            [f"snapshot_date_{suffix}", f"dpd_at_{suffix}", f"outstanding_at_{suffix}", f"loan_status_at_{suffix}"],
-            slice_unit=None, anchors=keyed,
-        )
-        out = asof_join(
-            out, case.select(
-                "case_id", "stat_date", F.col("outstanding_amount").alias(f"case_outstanding_at_{suffix}"),
-                F.col("dpd_bucket").alias(f"case_dpd_bucket_at_{suffix}"), F.col("case_status").alias(f"case_status_at_{suffix}"),
-            ),
-            ["case_id"], at, "stat_date",
-            [f"case_outstanding_at_{suffix}", f"case_dpd_bucket_at_{suffix}", f"case_status_at_{suffix}"], slice_unit=None,
-            anchors=keyed,
-        )
-        out = asof_join(
-            out, customer.select(
-                "customer_id", "stat_date", F.col("max_dpd").alias(f"customer_max_dpd_at_{suffix}"),
-                F.col("total_outstanding_amount").alias(f"customer_total_outstanding_at_{suffix}"),
-                F.col("active_case_count").alias(f"customer_active_case_count_at_{suffix}"),
-            ),
-            ["customer_id"], at, "stat_date",
-            [f"customer_max_dpd_at_{suffix}", f"customer_total_outstanding_at_{suffix}",
-             f"customer_active_case_count_at_{suffix}"], slice_unit=None, anchors=keyed,
-        )
+    at = {"observation": "observation_date", "d7": "d7_end_date"}
+    loan = loan_states_at(wh, keyed, at)
+    case = asof_anchors(
+        keyed.select("loan_id", "case_id", *at.values()), wh["ods_case_daily_snapshot"], ["case_id"], at, "stat_date",
+        ["outstanding_amount", "dpd_bucket", "case_status"], ["loan_id"],
+    )
+    customer = asof_anchors(
+        keyed.select("loan_id", "customer_id", *at.values()), wh["ods_customer_daily_snapshot"], ["customer_id"], at, "stat_date",
+        ["max_dpd", "total_outstanding_amount", "active_case_count"], ["loan_id"],
+    )
+    found = (
+        case.withColumnRenamed("state", "case").unionByName(customer.withColumnRenamed("state", "customer"), allowMissingColumns=True)
+        .groupBy("loan_id").agg(*(
+            F.max(F.when(F.col("anchor") == suffix, F.col(side))).alias(f"{side}_{suffix}") for suffix in at for side in ("case", "customer")
+        ))
+    )
+    out = keyed.join(loan, "loan_id", "left").join(found, "loan_id", "left").select(*keyed.columns, *(c for suffix in at for c in (
+        F.col(f"{suffix}.snapshot_date").alias(f"snapshot_date_{suffix}"), F.col(f"{suffix}.dpd").alias(f"dpd_at_{suffix}"),
+        F.col(f"{suffix}.outstanding_amount").alias(f"outstanding_at_{suffix}"), F.col(f"{suffix}.loan_status").alias(f"loan_status_at_{suffix}"),
+        F.col(f"case_{suffix}.outstanding_amount").alias(f"case_outstanding_at_{suffix}"),
+        F.col(f"case_{suffix}.dpd_bucket").alias(f"case_dpd_bucket_at_{suffix}"), F.col(f"case_{suffix}.case_status").alias(f"case_status_at_{suffix}"),
+        F.col(f"customer_{suffix}.max_dpd").alias(f"customer_max_dpd_at_{suffix}"),
+        F.col(f"customer_{suffix}.total_outstanding_amount").alias(f"customer_total_outstanding_at_{suffix}"),
+        F.col(f"customer_{suffix}.active_case_count").alias(f"customer_active_case_count_at_{suffix}"),
+    )))
     before, after = F.col("outstanding_at_observation"), F.col("outstanding_at_d7")
     reduction = clip(before - after, 0.0)
     fell = F.coalesce(F.col("outstanding_reduction_d7") > 0, F.lit(False))

@@ -27,8 +27,13 @@ def anchor() -> Column:
     return F.to_date(F.lit(ANCHOR_DATE))
 
 
+def panel_bounds() -> tuple[Column, Column]:
+    """First and last day of the daily snapshots: the model's panel is the last 60 days."""
+    return F.date_sub(anchor(), PANEL_DAYS - 1), anchor()
+
+
 def panel_dates() -> Column:
-    return F.explode(F.sequence(F.date_sub(anchor(), PANEL_DAYS - 1), anchor()))
+    return F.explode(F.sequence(*panel_bounds()))
 
 
 class StarSchemaDomain:
@@ -40,6 +45,7 @@ class StarSchemaDomain:
         self.notes: list[str] = []
         self._made: dict[str, DataFrame] = {}
         self._raw: dict[str, DataFrame] = {}
+        self.panel = panel_bounds()
 
     def raw(self, name: str) -> DataFrame:
         if name not in self._raw:
