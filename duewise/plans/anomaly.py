@@ -6,7 +6,8 @@ cannot be evaluated becomes a warning and never stops the others.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import datetime
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -21,6 +22,8 @@ from duewise.functions.text import fixed as two
 from duewise.functions.text import percent as pct
 from duewise.operators.ordering import exact_median, last_observations
 from duewise.operators.windows import window_bounds
+from duewise.plans.metrics import dashboard
+from duewise.sources.dated import DatedSource
 from duewise.sources.tables import TableMissing
 
 
@@ -67,8 +70,14 @@ def _series(df: DataFrame, value: Column, dimension_value: Column | str = "ALL")
     return df.select(F.to_date("stat_date").alias("stat_date"), who.alias("dimension_value"), clean(value).alias("value"))
 
 
+def board_of(wh, codes: Sequence[str]) -> DataFrame:
+    """The dashboard with the metrics asked for; only their families are built where the source has no dashboard."""
+    given = wh.strict or wh.source.has("ads_postloan_dashboard_di")
+    return wh["ads_postloan_dashboard_di"] if given else dashboard(wh, codes)
+
+
 def m1_series(wh, rules: Rules) -> DataFrame:
-    board = wh["ads_postloan_dashboard_di"]
+    board = board_of(wh, ["m1_recovery_rate"])
     code = "m1_recovery_rate" if "m1_recovery_rate" in board.columns else M1_FALLBACK
     return _series(board, F.col(code))
 
@@ -86,10 +95,12 @@ def capacity_series(wh, rules: Rules) -> DataFrame:
 
 def high_balance_share_series(wh, rules: Rules) -> DataFrame:
     """Daily share of customers at or above twice the overall median balance who are also high risk."""
-    status = wh["dws_customer_status_snapshot_di"].select(
-        "stat_date", "customer_id", "risk_level", clean("total_outstanding_amount").alias("balance")
-    )
-    threshold = exact_median(status, "balance").select(F.col("median") * 2).scalar()
+    balances = [
+        w["dws_customer_status_snapshot_di"].select("stat_date", "customer_id", "risk_level", clean("total_outstanding_amount").alias("balance"))
+        for w in (wh, getattr(wh, "whole", wh))
+    ]
+    status, overall = balances
+    threshold = exact_median(overall, "balance").select(F.col("median") * 2).scalar()
     daily = status.groupBy("stat_date").agg(
         F.countDistinct("customer_id").alias("customers"),
         F.count_if((F.col("balance") >= threshold) & (F.col("risk_level") == "high")).alias("risky"),
@@ -105,11 +116,13 @@ def ai_coverage_series(wh, rules: Rules) -> DataFrame:
 
 
 def reduction_usage_series(wh, rules: Rules) -> DataFrame:
+    if not wh.strict and not wh.source.has("ads_reduction_roi_di"):
+        return _series(board_of(wh, ["reduction_usage_rate"]), F.col("reduction_usage_rate"))
     return _series(wh["ads_reduction_roi_di"], F.col("reduction_usage_rate"))
 
 
 def ptp_keep_series(wh, rules: Rules) -> DataFrame:
-    return _series(wh["ads_postloan_dashboard_di"], F.col("ptp_keep_rate"))
+    return _series(board_of(wh, ["ptp_keep_rate"]), F.col("ptp_keep_rate"))
 
 
 def dashboard_series(board: DataFrame, codes: list[str]) -> DataFrame:
@@ -233,10 +246,56 @@ def _per_check(value: Callable[[Check], Column]) -> Column:
     return out
 
 
+#: The table whose days end the series of a check, and its dimension.
+SERIES_DAYS = {
+    "m1_recovery_rate": ("ads_postloan_dashboard_di", None), "ptp_keep_rate": ("ads_postloan_dashboard_di", None),
+    "reduction_usage_rate": ("ads_reduction_roi_di", None), "connect_rate": ("ads_vendor_performance_di", "vendor_id"),
+    "avg_case_per_collector": ("dws_vendor_line_capacity_di", "region"),
+    "high_balance_high_risk_share": ("dws_customer_status_snapshot_di", None), "ai_call_coverage": ("dws_collection_process_wide_di", None),
+}
+#: Read by most of the checks, so written once, for the days of the windows only.
+WINDOW_TABLES = ("dwd_collection_action_detail_di",)
+#: Built here, the dashboard and what copies its days end with the case snapshots, which have a row for each of its days.
+BOARD_DAYS = ("ads_postloan_dashboard_di", "ads_reduction_roi_di")
+
+
+def newest_days(wh, codes: Sequence[str]) -> DataFrame | None:
+    """The newest day of each series of the checks, from columns of dates and dimensions alone."""
+    parts = []
+    for name, dimension in dict.fromkeys(SERIES_DAYS[c] for c in codes):
+        built = name in BOARD_DAYS and not wh.strict and not wh.source.has(name)
+        keys = [] if dimension is None else [dimension]
+        try:
+            days = wh["ods_case_daily_snapshot" if built else name].select(F.to_date("stat_date").alias("newest"), *keys)
+        except (TableMissing, AnalysisException, KeyError):
+            continue
+        parts.append(days.groupBy(*keys).agg(F.max("newest").alias("newest")).select("newest"))
+    return reduce(DataFrame.union, parts) if parts else None
+
+
+def since(wh, rules: Rules, codes: Sequence[str]):
+    """A warehouse that starts where the earliest window of any series starts.
+
+    Every series has its own newest day, so the earliest of them decides; nothing that a window needs is left out.
+    The day is a literal in the plans that follow, so that it prunes partitions and row groups. ``whole`` stays at hand for
+    figures over all history.
+    """
+    days = newest_days(type(wh)(wh.source, strict=wh.strict), codes)  # nothing is staged for it
+    oldest = days.agg(F.min("newest")).first()[0] if days is not None else None
+    if oldest is None:
+        return wh
+    back = rules.maturity_days + rules.recent_days + rules.baseline_days - 1
+    windowed = type(wh)(DatedSource(wh.source, oldest - datetime.timedelta(days=back)), strict=wh.strict, shared=WINDOW_TABLES)
+    windowed.whole = wh
+    return windowed
+
+
 class Detection:
     """The checks of one run: ``checks`` holds a row for each, ``findings`` those that fired."""
 
     def __init__(self, wh, rules: Rules = DEFAULT_RULES, only: list[str] | None = None) -> None:
+        codes = [c.metric_code for c in CHECKS if only is None or c.metric_code in only]
+        wh = since(wh, rules, codes)
         self.wh = wh
         self.rules = rules
         self.warnings: list[str] = []
@@ -244,7 +303,7 @@ class Detection:
         wanted = [c for c in CHECKS if only is None or c.metric_code in only]
         together = self._dashboard_checks(wanted)
         if together:
-            parts.append(dashboard_series(wh["ads_postloan_dashboard_di"], together))
+            parts.append(dashboard_series(board_of(wh, together), together))
         for check in wanted:
             if check.metric_code in together:
                 continue

@@ -7,7 +7,7 @@ every column the other 23 would have read.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -181,8 +181,18 @@ def qa_metrics(wh) -> DataFrame:
     )
 
 
-def case_metrics(wh) -> DataFrame:
-    """Metrics whose denominator is the daily case status: coverage, productivity, complaints, concessions."""
+#: The side of the case status that each of its metrics needs besides the assigned cases.
+CASE_SIDES = {
+    "call_coverage_rate": "called", "valid_coverage_rate": "valid", "complaint_rate": "complaints",
+    "complaint_per_10k_cases": "complaints", "reduction_usage_rate": "used",
+}
+
+
+def case_metrics(wh, codes: Sequence[str] | None = None) -> DataFrame:
+    """Metrics whose denominator is the daily case status: coverage, productivity, complaints, concessions.
+
+    ``codes`` limits them, and the tables that are read, to those asked for.
+    """
     status = drop_null_keys(wh["dws_case_status_snapshot_di"], ["stat_date"])
     assigned = status.groupBy("stat_date").agg(
         F.countDistinct("case_id").alias("assigned"),
@@ -197,11 +207,13 @@ def case_metrics(wh) -> DataFrame:
     )
     applications = wh["ods_reduction_application"].withColumn("stat_date", F.to_date("apply_time"))
     used = applications.groupBy("stat_date").agg(F.countDistinct("case_id").alias("reduced"))
+    sides = {"called": called, "valid": valid, "complaints": complaints, "used": used}
+    wanted = {CASE_SIDES.get(c) for c in (CASE_SIDES if codes is None else codes)}
     joined = assigned
-    for side in (called, valid, complaints, used):
-        joined = joined.join(side, "stat_date", "left")
-    return joined.select(
-        "stat_date",
+    for name, side in sides.items():
+        if name in wanted:
+            joined = joined.join(side, "stat_date", "left")
+    rates = [
         safe_rate("called", "assigned").alias("call_coverage_rate"),
         safe_rate("valid", "assigned").alias("valid_coverage_rate"),
         safe_rate("repaid", "collectors", clipped=False, scale=4).alias("collector_productivity"),
@@ -210,7 +222,11 @@ def case_metrics(wh) -> DataFrame:
             F.round(safe_rate("complaints", "assigned", clipped=False, scale=None) * 10000, 4), F.lit(0.0)
         ).alias("complaint_per_10k_cases"),
         safe_rate("reduced", "assigned").alias("reduction_usage_rate"),
-    )
+    ]
+    if codes is None:
+        return joined.select("stat_date", *rates)
+    named = dict(zip(CASE_CODES, rates, strict=True))
+    return joined.select("stat_date", *(named[c] for c in codes))
 
 
 def reduction_recovery(wh) -> DataFrame:
@@ -240,6 +256,12 @@ def reduction_roi(wh, baseline: float = BASELINE_RECOVERY_WITHOUT_REDUCTION) ->
     )
 
 
+#: The metrics of :func:`case_metrics`, in its order.
+CASE_CODES = (
+    "call_coverage_rate", "valid_coverage_rate", "collector_productivity", "complaint_rate", "complaint_per_10k_cases", "reduction_usage_rate",
+)
+
+
 @dataclass(frozen=True)
 class Family:
     """Metrics produced by one aggregate."""
@@ -292,15 +314,32 @@ def metric(wh, code: str) -> DataFrame:
     return REGISTRY[code].build(wh).select("stat_date", code).filter(F.col(code).isNotNull())
 
 
-def dashboard(wh) -> DataFrame:
-    """All metrics per date; a date that only some metrics have shows 0 for the others."""
-    stacked = reduce(
-        lambda a, b: a.unionByName(b, allowMissingColumns=True), (family.build(wh) for family in FAMILIES)
+def dashboard_dates(wh) -> DataFrame:
+    """The dates that any metric has, from one date column of each of four tables."""
+    dates = (
+        wh["dwd_due_plan_detail_di"].select("stat_date"), wh["dwd_collection_action_detail_di"].select(F.col("action_date").alias("stat_date")),
+        wh["dws_case_status_snapshot_di"].select("stat_date"), wh["ods_reduction_application"].select(F.to_date("apply_time").alias("stat_date")),
     )
+    return date_spine(*(d.distinct() for d in dates))
+
+
+def dashboard(wh, codes: Sequence[str] | None = None) -> DataFrame:
+    """All metrics per date; a date that only some metrics have shows 0 for the others.
+
+    With ``codes`` only the families of those metrics are built; every other family gives its dates alone.
+    """
+    wanted = list(METRIC_CODES if codes is None else codes)
+    if codes is None:
+        parts = [family.build(wh) for family in FAMILIES]
+    else:
+        asked = [(family, [c for c in family.codes if c in wanted]) for family in FAMILIES]
+        parts = [(f.build(wh, own) if f.build is case_metrics else f.build(wh)).select("stat_date", *own) for f, own in asked if own]
+        parts.append(dashboard_dates(wh))
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     # Each (date, metric) occurs at most once, so max() only picks it.
-    wide = drop_null_keys(stacked, ["stat_date"]).groupBy("stat_date").agg(*(F.max(c).alias(c) for c in METRIC_CODES))
+    wide = drop_null_keys(stacked, ["stat_date"]).groupBy("stat_date").agg(*(F.max(c).alias(c) for c in wanted))
     filled = wide.select(
         "stat_date",
-        *(F.coalesce(c, F.lit(0).cast("long") if c in COUNT_CODES else F.lit(0.0)).alias(c) for c in METRIC_CODES),
+        *(F.coalesce(c, F.lit(0).cast("long") if c in COUNT_CODES else F.lit(0.0)).alias(c) for c in wanted),
     )
     return cap_at(filled, max_date(wh["dws_case_status_snapshot_di"]))
