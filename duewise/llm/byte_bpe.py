@@ -10,13 +10,15 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
+from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from duewise.llm.chunks import by_bytes
 from duewise.llm.common import list_array, map_rows, per_worker, schema_with, table
 from duewise.llm.registry import query
 
@@ -79,7 +81,8 @@ class ByteBpe:
     pre-token crosses a unit's end, so units met before come from a bounded cache.
     """
 
-    KEEP = 400_000
+    #: Bytes that the cache may take, and units of a text between two looks at it.
+    KEEP_BYTES, BLOCK_UNITS = 64 << 20, 1 << 15
 
     def __init__(self, rank_file: bytes, pattern: str):
         import re
@@ -94,6 +97,7 @@ class ByteBpe:
         self.tokens = regex.compile(pattern)
         self.units = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
         self.known: dict[str, bytes] = {}
+        self.held = 0
         self.pieces = [piece for piece, _ in sorted(self.ranks.items(), key=lambda x: x[1])]
 
     def _characters(self, token: str) -> str:
@@ -106,17 +110,21 @@ class ByteBpe:
         # A pre-token that is itself a piece has that piece's rank, whatever the merges would give.
         coded = {t: [whole] if (whole := self.ranks.get(t.encode())) is not None else ids for t, ids in zip(flat, got, strict=True)}
         for unit, tokens in zip(new, split, strict=True):
-            self.known[unit] = np.array([i for t in tokens for i in coded[t]], "<u4").tobytes()
+            self.known[unit] = ids = np.array([i for t in tokens for i in coded[t]], "<u4").tobytes()
+            # Characters take four bytes at most; an entry and its two objects take about 200 more.
+            self.held += 4 * len(unit) + len(ids) + 200
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        parts = self.units.findall(text)
-        if len(self.known) > self.KEEP:
-            self.known.clear()
-        new = list({x for x in parts if x not in self.known})
-        if new:
-            self._learn(new)
-        return b"".join(map(self.known.__getitem__, parts))
+        units, out = (m[0] for m in self.units.finditer(text)), []
+        while parts := list(islice(units, self.BLOCK_UNITS)):
+            if new := list({x for x in parts if x not in self.known}):
+                self._learn(new)
+            out.append(b"".join(map(self.known.__getitem__, parts)))
+            if self.held > self.KEEP_BYTES:
+                self.known.clear()
+                self.held = 0
+        return b"".join(out)
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.pieces.__getitem__, ids.tolist()))
@@ -159,6 +167,36 @@ def bpe_decode(coded: DataFrame, rank_file: bytes, pattern: str, ids: str = "ids
     return map_rows(kept, run, schema_with(kept, **{into: T.BinaryType()}))
 
 
+def bpe_round_trip(docs: DataFrame, rank_file: bytes, pattern: str, text: str = "text", ids: str | None = None) -> DataFrame:
+    """``n_tokens, ids_sha256, decoded_sha256`` in place of ``text``, and the ids as ``ids`` if that is named.
+
+    One pass: each text is encoded, its ids are decoded again and both are digested by one worker, in parts of bounded
+    bytes. All other columns stay. A null or empty text has no ids.
+    """
+    get = _worker(docs.sparkSession, rank_file, pattern)
+    added = {"n_tokens": T.LongType(), "ids_sha256": T.StringType(), "decoded_sha256": T.StringType()}
+    if ids:
+        added[ids] = T.ArrayType(T.IntegerType())
+    kept = docs.drop(text, *added)
+    names = kept.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in by_bytes(batch, text):
+                coder, coded, sums = get(), [], []
+                for t in part.column(text).to_pylist():
+                    data = coder.encode(t or "")
+                    sums.append((hashlib.sha256(data).hexdigest(), hashlib.sha256(coder.decode(np.frombuffer(data, "<u4"))).hexdigest()))
+                    coded.append(data if ids else len(data) // 4)
+                lengths = [len(x) // 4 for x in coded] if ids else coded
+                arrays = [*(part.column(n) for n in names), pa.array(lengths, pa.int64()), *(pa.array(x, pa.string()) for x in zip(*sums, strict=True))]
+                if ids:
+                    arrays.append(list_array(pa.array(np.frombuffer(b"".join(coded), np.uint32).astype(np.int32)), lengths))
+                yield pa.RecordBatch.from_arrays(arrays, names=[*names, *added])
+
+    return docs.select(*names, text).mapInArrow(run, schema_with(kept, **added))
+
+
 def id_digests(coded: DataFrame) -> DataFrame:
     """``n_tokens, ids_sha256, decoded_sha256`` in place of ``ids`` and ``decoded``."""
 
@@ -187,7 +225,5 @@ def public_vocabulary(name: str = "byte_bpe_50k.tiktoken") -> tuple[bytes, str]:
 @query("op3_byte_bpe")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: doc_id, n_tokens, ids_sha256, decoded_sha256; ids are decoded after encoding."""
-    vocabulary = public_vocabulary()
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = bpe_encode(docs, *vocabulary).select("doc_id", "ids")
-    return id_digests(bpe_decode(coded, *vocabulary)).select(F.col("doc_id"), "n_tokens", "ids_sha256", "decoded_sha256")
+    return bpe_round_trip(docs, *public_vocabulary()).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")

@@ -57,7 +57,7 @@ def test_segments_miss_nothing():
                 assert set(index[0]) & set(probe[0])
 
 
-def _classes(texts, edits=2, min_chars=30, min_documents=6):
+def _classes(texts, edits=2, min_chars=30, min_documents=2):
     at, names = [], []
     for d, t in enumerate(texts):
         for i, raw in enumerate((t or "").split("\n")):
@@ -113,6 +113,10 @@ def test_op9(spark, folder):
     line = lambda n: "".join(rng.choice("abcdé ") for _ in range(n)).strip() + "."
     common, short = [line(60) for _ in range(4)], ["short line", "other", "another one"]
     texts = list(EDGE_TEXTS)
+    # Classes of two to five documents, equal and edited.
+    few = [line(50) for _ in range(4)]
+    for n, own in zip((2, 3, 4, 5), few, strict=True):
+        texts += [f"{line(40)}\n{edited(rng, own, k % 2)}\n{line(9)}" for k in range(n)]
     for _ in range(40):
         lines = [line(rng.randrange(5, 80)) for _ in range(rng.randrange(0, 4))]
         lines += [edited(rng, rng.choice(common), rng.randrange(0, 4)) for _ in range(rng.randrange(0, 4))]

@@ -15,6 +15,10 @@ def corpus():
     text = lambda n: " ".join(f"w{rng.randrange(500)}" for _ in range(n))
     common = [text(12) for _ in range(3)]
     texts = list(EDGE_TEXTS) + [f"{text(30)}\n{rng.choice(common)}\n{text(9)}" for _ in range(30)]
+    # Lines of two to five documents.
+    for n in (2, 3, 5):
+        own = text(14)
+        texts += [f"{text(25)}\n{own}\n{text(8)}" for _ in range(n)]
     base = [text(80) for _ in range(3)]
     for b in base:
         for k in range(4):

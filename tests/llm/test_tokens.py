@@ -100,3 +100,19 @@ def test_bpe_keeps_clashing_columns(spark):
     df = spark.createDataFrame([(1, "a b", "kept", "gone")], "doc_id long, text string, decoded_ids string, ids string")
     got = byte_bpe.bpe_encode(df, *byte_bpe.public_vocabulary()).collect()[0]
     assert got.decoded_ids == "kept" and got.ids and isinstance(got.ids[0], int)
+
+
+def test_small_cache_and_parts_give_the_same_ids(monkeypatch, reference):
+    monkeypatch.setattr(byte_bpe.ByteBpe, "KEEP_BYTES", 500)
+    monkeypatch.setattr(byte_bpe.ByteBpe, "BLOCK_UNITS", 3)
+    coder = byte_bpe.ByteBpe(*byte_bpe.public_vocabulary())
+    for text in [t or "" for t in EDGE_TEXTS] + [" ".join(f"word{i} and {i}" for i in range(500))]:
+        ids = np.frombuffer(coder.encode(text), "<u4")
+        assert ids.tolist() == reference.encode_ordinary(text) and coder.decode(ids) == text.encode()
+
+
+def test_round_trip_keeps_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "a b", "x", 5), (1, "a b", "x", 5), (None, None, None, None)], "doc_id long, text string, part string, ids int")
+    got = byte_bpe.bpe_round_trip(df, *byte_bpe.public_vocabulary(), ids="token_ids")
+    assert got.columns == ["doc_id", "part", "ids", "n_tokens", "ids_sha256", "decoded_sha256", "token_ids"]
+    assert sorted((r.part or "", r.ids or 0, r.n_tokens, len(r.token_ids)) for r in got.collect()) == [("", 0, 0, 0), ("x", 5, 2, 2), ("x", 5, 2, 2)]
