@@ -1,11 +1,17 @@
 """Which business segments explain a change of the M1 recovery rate.
 
-The recovery fact is built once and unpivoted over the twelve dimensions; one aggregate then yields, for
-every segment and period, the rate parts and the process counts that serve as evidence.
+The recovery fact of the two windows is brought to one row per loan, period and combination of dimension values.
+Each such row knows for which dimensions it is the first of its loan with that value, so that loan counts become
+plain sums: unpivoting over the twelve dimensions then needs no distinct count and no wide shuffle. The same aggregate
+yields the process counts that serve as evidence.
 """
 
 from __future__ import annotations
 
+import datetime
+from collections.abc import Sequence
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,8 +20,10 @@ from pyspark.sql import types as T
 from duewise.functions.rates import flag_sum, safe_rate, total
 from duewise.operators.joins import coalescing_join
 from duewise.operators.ordering import dedupe, latest_per_key, top_per_key
-from duewise.operators.windows import WindowBounds, window_bounds
+from duewise.operators.windows import WindowBounds, bounds_from
 from duewise.plans.warehouse import HIGH_BALANCE
+from duewise.session import stage
+from duewise.sources.dated import DatedSource
 
 DIMENSIONS = [  # fixed values, in rank-tie order
     "vendor_id", "vendor_name", "line_id", "line_name", "collector_id", "product_code", "channel_code", "province",
@@ -93,6 +101,11 @@ def normalize(fact: DataFrame) -> DataFrame:
     return out.withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit(UNKNOWN)) for c in [*DIMENSIONS, "dpd_bucket"]})
 
 
+def _basis(wh, name: str, origin: str) -> str:
+    """``origin`` where ``name`` is built here by left joins to it, which keep its rows and columns as they are."""
+    return origin if not wh.strict and not wh.source.has(name) and wh.source.has(origin) else name
+
+
 def recovery_fact(wh) -> DataFrame:
     """M1 loan-days with case, resource, customer and score attributes and same-day process facts.
 
@@ -116,7 +129,8 @@ def recovery_fact(wh) -> DataFrame:
     loan = loan.join(dedupe(case, ["case_id"], ["vendor_id", "line_id"]), "case_id", "left")
 
     status = wh.optional(
-        "dws_case_status_snapshot_di", {"stat_date": DATE, "case_id": L, "vendor_id": S, "line_id": S, "collector_id": L}
+        _basis(wh, "dws_case_status_snapshot_di", "ods_case_daily_snapshot"),
+        {"stat_date": DATE, "case_id": L, "vendor_id": S, "line_id": S, "collector_id": L},
     )
     places = ["vendor_id", "line_id", "collector_id"]
     daily = dedupe(status.select("stat_date", "case_id", *places), ["stat_date", "case_id"], places)
@@ -172,34 +186,71 @@ MEASURES = [
 ]
 
 
-def segment_periods(fact: DataFrame, bounds: WindowBounds, dimensions: list[str] = DIMENSIONS) -> DataFrame:
-    """Sums per (dimension, value, period). Rows outside both windows only prove that a value exists."""
-    unpivoted = fact.withColumn("period", F.coalesce(bounds.period("stat_date"), F.lit("outside"))).select(
-        "period", "loan_id", "repaid_amount_d7", "due_amount", "action_count", "ai_action_count", "manual_action_count",
-        "connected_count", "ptp_count", "ptp_fulfilled_count", "reduction_used", "complaint_flag",
-        F.inline(F.array(*(
-            F.struct(F.lit(d).alias("dimension_name"), F.col(d).alias("dimension_value")) for d in dimensions
-        ))),
+SUMMED = ["action_count", "ai_action_count", "manual_action_count", "connected_count", "ptp_count", "ptp_fulfilled_count"]
+
+
+def loan_periods(fact: DataFrame, bounds: WindowBounds, dimensions: list[str] = DIMENSIONS) -> DataFrame:
+    """One row per loan, period and combination of dimension values, with sums and ``first_of``.
+
+    ``first_of`` holds, in the order of ``dimensions``, whether the row is the first of its loan and period with its
+    value; a loan has few combinations, as rows combine before the shuffle. Rows without a loan count no loan and are
+    spread by their values.
+    """
+    spread = F.when(F.col("loan_id").isNull(), F.xxhash64(*dimensions))
+    rows = fact.withColumn("period", bounds.period("stat_date")).filter(F.col("period").isNotNull()).withColumn("_spread", spread)
+    combined = rows.groupBy("period", "loan_id", "_spread", *dimensions).agg(
+        total("repaid_amount_d7").alias("repaid"), total("due_amount").alias("due"), *(F.sum(c).alias(c) for c in SUMMED),
+        flag_sum("reduction_used").alias("reduced"), flag_sum("complaint_flag").alias("complained"),
     )
+    own = [c for c in combined.columns if c not in ("period", "loan_id", "_spread")]
+    by_loan = combined.groupBy("period", "loan_id", "_spread").agg(F.collect_list(F.struct(*own)).alias("rows"))
+    placed = by_loan.select("period", "loan_id", "rows", F.posexplode("rows").alias("at", "row"))
+    first_of = [
+        F.col("loan_id").isNotNull() & (F.array_position(F.col(f"rows.{d}"), F.col(f"row.{d}")) == F.col("at") + 1) for d in dimensions
+    ]
+    return placed.select("period", "row.*", F.array(*first_of).alias("first_of"))
+
+
+def segment_periods(fact: DataFrame, bounds: WindowBounds, dimensions: list[str] = DIMENSIONS) -> DataFrame:
+    """Sums per (dimension, value, period), by an aggregate that combines before its shuffle to a row per segment."""
+    narrow = loan_periods(fact, bounds, dimensions)
+    unpivoted = narrow.select("period", "repaid", "due", *SUMMED, "reduced", "complained", F.inline(F.array(*(
+        F.struct(F.lit(d).alias("dimension_name"), F.col(d).alias("dimension_value"), F.get("first_of", F.lit(i)).alias("first"))
+        for i, d in enumerate(dimensions)
+    ))))
     return unpivoted.filter(F.col("dimension_value") != UNKNOWN).groupBy("dimension_name", "dimension_value", "period").agg(
-        total("repaid_amount_d7").alias("numerator"),
-        total("due_amount").alias("denominator"),
-        F.countDistinct("loan_id").alias("loan_count"),
+        total("repaid").alias("numerator"),
+        total("due").alias("denominator"),
+        F.count_if("first").alias("loan_count"),
         F.sum("action_count").alias("actions"),
         F.sum("ai_action_count").alias("ai_actions"),
         F.sum("manual_action_count").alias("manual_actions"),
         F.sum("connected_count").alias("connected"),
         F.sum("ptp_count").alias("promised"),
         F.sum("ptp_fulfilled_count").alias("kept"),
-        flag_sum("reduction_used").alias("reduced"),
-        flag_sum("complaint_flag").alias("complained"),
+        F.sum("reduced").alias("reduced"),
+        F.sum("complained").alias("complained"),
     )
 
 
-def segment_deltas(periods: DataFrame) -> DataFrame:
+def single_valued(periods: DataFrame) -> list[str]:
+    """Dimensions with exactly one known value in the windows; at most twelve names."""
+    ends = periods.groupBy("dimension_name").agg((F.min("dimension_value") == F.max("dimension_value")).alias("one"))
+    return [r.dimension_name for r in ends.filter("one").collect()]
+
+
+def with_several_values(fact: DataFrame, dimensions: list[str]) -> list[str]:
+    """Those of ``dimensions`` that have two known values in ``fact``: one narrow row of ends, whatever the rows."""
+    known = {d: F.when(F.col(d) != UNKNOWN, F.col(d)) for d in dimensions}
+    ends = fact.agg(*((F.min(v) != F.max(v)).alias(d) for d, v in known.items())).first()
+    return [d for d in dimensions if ends[d]]
+
+
+def segment_deltas(periods: DataFrame, several: Sequence[str] = ()) -> DataFrame:
     """One row per segment seen in either window, with both periods side by side.
 
-    A dimension with fewer than two known values over the whole fact is left out.
+    A dimension with fewer than two known values is left out, unless ``several`` names it as one that has more values
+    outside the windows.
     """
     pivoted = periods.groupBy("dimension_name", "dimension_value").agg(*(
         F.coalesce(F.max(F.when(F.col("period") == p, F.col(m))), F.lit(0)).alias(f"{m}_{p}")
@@ -207,7 +258,7 @@ def segment_deltas(periods: DataFrame) -> DataFrame:
     ), *(F.max((F.col("period") == p).cast("int")).alias(f"in_{p}") for p in ("baseline", "recent")))
     # One row per dimension: twelve at most.
     wide_enough = periods.groupBy("dimension_name").agg(
-        (F.min("dimension_value") != F.max("dimension_value")).alias("_several")
+        ((F.min("dimension_value") != F.max("dimension_value")) | F.col("dimension_name").isin(list(several))).alias("_several")
     ).filter("_several").select("dimension_name")
     return (
         pivoted.filter((F.col("in_baseline") == 1) | (F.col("in_recent") == 1))
@@ -329,30 +380,50 @@ def confidence(linkage: Column) -> Column:
     return F.when(F.col("dimension_name").isin(list(RESOURCE)) & (fell | rose), "high").otherwise("medium")
 
 
+#: Read by both the fact and the overall rate, so written once, for the days of the windows only.
+WINDOW_TABLES = ("dws_loan_status_snapshot_di",)
+
+
+def newest_due_day(wh) -> datetime.date | None:
+    """The newest day of an M1 loan, from dates and buckets alone; all windows end with it."""
+    built = not wh.strict and not wh.source.has("dws_loan_status_snapshot_di")
+    return wh["dwd_due_plan_detail_di" if built else "dws_loan_status_snapshot_di"].filter(F.col("dpd_bucket") == "M1").agg(F.max(F.to_date("stat_date"))).first()[0]
+
+
 class Attribution:
     """One attribution run; each step is a DataFrame that can be looked at on its own."""
 
     def __init__(self, wh, recent_days: int = 30, baseline_days: int = 30) -> None:
         self.wh = wh
-        self.fact = recovery_fact(wh)
-        # Bounds come from the loan table itself: the fact keeps all its M1 rows.
-        dates = wh["dws_loan_status_snapshot_di"].filter(F.col("dpd_bucket") == "M1")
-        self.bounds = window_bounds(dates, "stat_date", recent_days, baseline_days)
+        newest = newest_due_day(type(wh)(wh.source, strict=wh.strict))  # nothing is staged for it
+        self.bounds = bounds_from(F.lit(newest).cast("date"), recent_days, baseline_days)
+        self.windowed = wh
+        if newest is not None:
+            first = newest - datetime.timedelta(days=recent_days + baseline_days - 1)
+            self.windowed = type(wh)(DatedSource(wh.source, first), strict=wh.strict, shared=WINDOW_TABLES)
+            self.windowed.notes = wh.notes
+        self.window_fact = recovery_fact(self.windowed).filter(self.bounds.in_either("stat_date"))
+
+    @cached_property
+    def fact(self) -> DataFrame:
+        """The recovery fact of all days."""
+        return recovery_fact(self.wh)
 
     @property
     def overall(self) -> DataFrame:
-        return overall_rates(self.wh["dws_loan_status_snapshot_di"].filter(F.col("dpd_bucket") == "M1"), self.bounds)
+        return overall_rates(self.windowed["dws_loan_status_snapshot_di"].filter(F.col("dpd_bucket") == "M1"), self.bounds)
 
-    @property
+    @cached_property
     def segments(self) -> DataFrame:
-        return segment_deltas(segment_periods(self.fact, self.bounds))
+        # A few rows per dimension value, written once because totals, filter and ranking all read them.
+        periods = stage(segment_periods(self.window_fact, self.bounds), "segment-periods")
+        # The days outside the windows matter only to a dimension whose one value there may have others elsewhere.
+        single = single_valued(periods)
+        return segment_deltas(periods, with_several_values(self.fact, single) if single else ())
 
     @property
     def scored(self) -> DataFrame:
-        from duewise.session import pin
-
-        # A few rows per dimension value; pinned because totals, filter and ranking all read them.
-        return score_contributions(pin(self.segments), self.overall.select("total_delta").scalar())
+        return score_contributions(self.segments, self.overall.select("total_delta").scalar())
 
     def drivers(self, limit: int = 10) -> DataFrame:
         return ranked_drivers(self.scored, limit).withColumn("linkage", process_evidence())
