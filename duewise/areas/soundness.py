@@ -51,6 +51,75 @@ def expressions(wh):
     )
 
 
+# What the rules by column name must find; written out, so that the twin does not share the code that finds it.
+AMOUNTS = {
+    "dim_loan": ["loan_amount"], "dim_case": ["initial_outstanding_amount"], "ods_repayment_plan": ["due_amount"],
+    "ods_repayment_detail": ["repay_amount"], "ods_reduction_application": ["approved_amount"], "ods_case_daily_snapshot": ["outstanding_amount"],
+    "ods_customer_daily_snapshot": ["total_outstanding_amount"], "ods_loan_daily_snapshot": ["outstanding_amount"],
+    "dwd_due_plan_detail_di": ["due_amount", "outstanding_amount"], "dwd_repayment_detail_di": ["repay_amount"],
+    "dws_case_status_snapshot_di": ["outstanding_amount", "repaid_amount"], "dws_customer_profile_di": ["total_outstanding_amount"],
+    "dws_customer_status_snapshot_di": ["total_outstanding_amount"], "dws_loan_status_snapshot_di": ["due_amount", "repaid_amount_d7"],
+    "ads_postloan_dashboard_di": ["due_total_amount"], "ads_reduction_roi_di": ["approved_reduction_amount"],
+}
+RATES = {
+    "dws_collection_process_wide_di": ["connect_rate", "ptp_fulfillment_rate", "ai_coverage_rate"], "dws_collector_profile_di": ["connect_rate"],
+    "dws_loan_status_snapshot_di": ["recovery_rate_d7"], "ads_collector_performance_di": ["connect_rate", "ptp_keep_rate"],
+    "ads_compliance_qc_di": ["complaint_rate", "risk_phrase_hit_rate", "qa_fail_rate", "over_frequency_contact_rate"],
+    "ads_postloan_dashboard_di": [
+        "collection_entry_rate", "recovery_rate_d7", "recovery_rate_d15", "recovery_rate_d30", "m1_recovery_rate", "call_coverage_rate",
+        "valid_coverage_rate", "connect_rate", "valid_contact_rate", "ptp_rate", "ptp_keep_rate", "complaint_rate", "risk_phrase_hit_rate",
+        "qa_fail_rate", "over_frequency_contact_rate", "reduction_usage_rate", "reduction_recovery_rate",
+    ],
+    "ads_recovery_attribution_di": ["contribution_pct"], "ads_reduction_roi_di": ["reduction_usage_rate", "reduction_recovery_rate"],
+    "ads_vendor_performance_di": ["call_coverage_rate", "connect_rate", "ptp_rate", "ptp_keep_rate", "complaint_rate"],
+}
+LAYER_TABLES = {
+    "dim": ["dim_case", "dim_case_loan_mapping", "dim_collection_line", "dim_collector", "dim_customer", "dim_loan", "dim_vendor"],
+    "ods": ["ods_call_record", "ods_case_daily_snapshot", "ods_case_flow", "ods_collection_action", "ods_complaint", "ods_customer_daily_snapshot",
+            "ods_loan_daily_snapshot", "ods_postloan_c_score", "ods_reduction_application", "ods_repayment_detail", "ods_repayment_plan", "ods_sms_send_log"],
+    "dwd": ["dwd_case_flow_detail_di", "dwd_collection_action_detail_di", "dwd_complaint_detail_di", "dwd_due_plan_detail_di", "dwd_repayment_detail_di"],
+    "dws": ["dws_case_status_snapshot_di", "dws_collection_process_wide_di", "dws_collector_profile_di", "dws_customer_postloan_tag_di",
+            "dws_customer_profile_di", "dws_customer_status_snapshot_di", "dws_loan_status_snapshot_di", "dws_vendor_line_capacity_di"],
+    "ads": ["ads_collector_performance_di", "ads_compliance_qc_di", "ads_postloan_dashboard_di", "ads_recovery_attribution_di", "ads_reduction_roi_di",
+            "ads_vendor_performance_di"],
+}
+#: Tables whose SQL has another name.
+SQL_NAMES = {"ods_loan_daily_snapshot": "loan_daily_state"}
+
+
+def constraints_sql(layer: str) -> str:
+    """One row per rule of each table of a layer."""
+    rows = []
+    for t in LAYER_TABLES[layer]:
+        source, keys = SQL_NAMES.get(t, t), PRIMARY_KEYS.get(t, [])
+        rules = [("non_negative", c, f"count(*) FILTER (TRY_CAST({c} AS DOUBLE) < 0)") for c in AMOUNTS.get(t, [])]
+        rules += [("unit_range", c, f"count(*) FILTER (TRY_CAST({c} AS DOUBLE) NOT BETWEEN 0 AND 1)") for c in RATES.get(t, [])]
+        if keys:
+            named = ",".join(keys)
+            rules.append(("key_present", named, f"count(*) FILTER ({' OR '.join(f'{k} IS NULL' for k in keys)})"))
+            rules.append(("unique_key", named, f"count(*) - (SELECT count(*) FROM (SELECT DISTINCT {named} FROM {source}))"))
+        rules += [("column_present", c, "0") for c in (METRIC_CODES if t == "ads_postloan_dashboard_di" else ())]
+        if layer in ("dwd", "dws", "ads"):
+            rules.append(("no_personal_field", "", "0"))
+        rows += [
+            f"SELECT '{t}' AS table_name, '{name}' AS constraint_name, '{column}' AS column_name, count(*) AS row_count, CAST({bad} AS BIGINT) AS bad_count FROM {source}"
+            for name, column, bad in rules or [("none", "", "0")]
+        ]
+    return " UNION ALL ".join(rows)
+
+
+def references_sql() -> str:
+    rows = []
+    for c, ck, p, pk in checks.FOREIGN_KEYS:
+        if c in ("ods_collection_note", "ods_assignment_decision_log"):  # the data has no such tables
+            rows.append(f"SELECT '{c}.{ck}' AS check_name, false AS checked, CAST(NULL AS BIGINT) AS missing_count, CAST(NULL AS BIGINT) AS orphan_rows")
+        else:
+            rows.append(
+                f"SELECT '{c}.{ck}' AS check_name, true AS checked, count(DISTINCT coalesce(CAST({ck} AS VARCHAR), '')) AS missing_count, count(*) AS orphan_rows"
+                f" FROM {c} WHERE {ck} IS NULL OR {ck} NOT IN (SELECT {pk} FROM {p} WHERE {pk} IS NOT NULL)")
+    return " UNION ALL ".join(rows)
+
+
 def register() -> None:
     for name, digits in SOURCES.items():
         add(f"source_{name}", lambda wh, name=name: without_personal_fields(wh[name]), f"SELECT * FROM {name}", **digits)
@@ -75,6 +144,10 @@ def register() -> None:
         SELECT stat_date, vendor_id, line_id, active_case_count FROM dws_vendor_line_capacity_di
         QUALIFY row_number() OVER (PARTITION BY stat_date, vendor_id ORDER BY active_case_count DESC, line_id) <= 2""")
     # ---- data quality
+    for layer in LAYER_TABLES:
+        add(f"quality_constraints_{layer}", lambda wh, layer=layer: checks.constraints(wh, layer), constraints_sql(layer),
+            shared=SHARED_TABLES if layer in ("dws", "ads") else ())
+    add("quality_references", checks.references, references_sql())
     add("quality_primary_keys", checks.primary_keys, " UNION ALL ".join(
         f"SELECT '{t}' AS table_name, CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS duplicate_count FROM (SELECT count(*) AS n FROM {t} GROUP BY {', '.join(PRIMARY_KEYS[t])})"
         for t in checks.KEYED))

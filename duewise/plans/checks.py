@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from duewise.operators import constraints as cs
 from duewise.operators import quality as q
 from duewise.plans.metrics import METRIC_CODES, RATIO_CODES
+from duewise.plans.warehouse import BUILDERS
 from duewise.schemas import PRIMARY_KEYS
+from duewise.sources.tables import layer_of
 
 FOREIGN_KEYS = [  # fixed values: child table, column, parent table, column
     ("dim_loan", "customer_id", "dim_customer", "customer_id"), ("dim_case", "customer_id", "dim_customer", "customer_id"),
@@ -27,9 +30,38 @@ AMOUNT_TABLES = ["dim_loan", "dim_case", "ods_repayment_plan", "ods_repayment_de
                  "dws_customer_status_snapshot_di", "dws_case_status_snapshot_di"]
 RATE_TABLES = ["dws_loan_status_snapshot_di", "dws_collection_process_wide_di", "ads_vendor_performance_di"]
 SNAPSHOTS = ["ods_case_daily_snapshot", "ods_customer_daily_snapshot"]
+OTHER_TABLES = ("ods_repayment_detail", "ods_call_record", "ods_sms_send_log", "ods_case_flow", "ods_loan_daily_snapshot")
 CENT = 0.005
 
 
+def catalogue(wh, layer: str) -> list[str]:
+    """The tables of a layer that the warehouse has: those with a declared key, a reference or a builder."""
+    known = {*PRIMARY_KEYS, *BUILDERS, *OTHER_TABLES, *(t for c, _, p, _ in FOREIGN_KEYS for t in (c, p))}
+    return [t for t in sorted(known) if layer_of(t) == layer and wh.has(t)]
+
+
+def constraints(wh, layer: str) -> DataFrame:
+    """Key, amount, rate, privacy and column rules of every table of a layer.
+
+    Rates are bound to [0, 1] in the subject and application layers, clear personal fields are barred from detail on.
+    """
+    parts = []
+    for name in catalogue(wh, layer):
+        required = METRIC_CODES if name == "ads_postloan_dashboard_di" else ()
+        rules = cs.rules_by_name(
+            wh[name], name, PRIMARY_KEYS.get(name, ()), rates=layer in ("dws", "ads"), no_personal=layer in ("dwd", "dws", "ads"), required=required
+        )
+        parts.append(cs.evaluate(wh[name], rules))
+    return q.stack(parts)
+
+
+def references(wh) -> DataFrame:
+    """All declared references, those of absent tables included."""
+    declared = [cs.Reference(*r) for r in FOREIGN_KEYS]
+    names = dict.fromkeys(t for r in declared for t in (r.child, r.parent))
+    return cs.unmet_references({t: wh[t] for t in names if wh.has(t)}, declared)
+
+
 def primary_keys(wh) -> DataFrame:
     return q.stack([q.duplicate_keys(wh[t], PRIMARY_KEYS[t], t) for t in KEYED])
 
