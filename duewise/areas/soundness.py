@@ -62,6 +62,7 @@ AMOUNTS = {
     "ads_postloan_dashboard_di": ["due_total_amount"], "ads_reduction_roi_di": ["approved_reduction_amount"],
 }
 RATES = {
+    "dws_customer_postloan_tag_di": ["strategy_tag"],  # its name holds "rate"; a text that is no number breaks nothing
     "dws_collection_process_wide_di": ["connect_rate", "ptp_fulfillment_rate", "ai_coverage_rate"], "dws_collector_profile_di": ["connect_rate"],
     "dws_loan_status_snapshot_di": ["recovery_rate_d7"], "ads_collector_performance_di": ["connect_rate", "ptp_keep_rate"],
     "ads_compliance_qc_di": ["complaint_rate", "risk_phrase_hit_rate", "qa_fail_rate", "over_frequency_contact_rate"],

@@ -1,4 +1,4 @@
-"""Declared constraints, compiled to one aggregate per table and one join for all references.
+"""Declared constraints, compiled to one aggregate per table and one for all references.
 
 Every result row names a constraint and counts the rows (or keys) that break it, so that a suite is a table which
 can be kept, compared and alerted on.
@@ -6,7 +6,7 @@ can be kept, compared and alerted on.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -98,37 +98,40 @@ class Reference:
         return f"{self.child}.{self.column}"
 
 
-def _keyed(tables: dict[str, DataFrame], wanted: Iterable[tuple[str, str, str]]) -> list[DataFrame]:
-    """(check_name, key, n) of each wanted (check, table, column); a table is read once for all its columns."""
-    by_table: dict[str, list[tuple[str, str]]] = {}
-    for check, table, column in wanted:
-        by_table.setdefault(table, []).append((check, column))
-    return [
-        tables[table].select(F.inline(F.array(*(
-            F.struct(F.lit(check).alias("check_name"), F.col(column).cast("string").alias("key")) for check, column in columns
-        )))).groupBy("check_name", "key").agg(F.count(F.lit(1)).alias("n"))
-        for table, columns in by_table.items()
-    ]
+def _uses(df: DataFrame, columns: list[tuple[int, str, bool]]) -> DataFrame:
+    """check, key, n, met of each (check, column, whether as parent): a table is read once for all its columns."""
+    return df.select(F.inline(F.array(*(
+        F.struct(
+            F.lit(check).alias("check"), F.col(column).cast("string").alias("key"), F.lit(int(not parent)).cast("long").alias("n"),
+            (F.lit(parent) & F.col(column).isNotNull()).alias("met"),
+        )
+        for check, column, parent in columns
+    ))))
 
 
 def unmet_references(tables: dict[str, DataFrame], references: Sequence[Reference]) -> DataFrame:
     """check_name, checked, missing_count, orphan_rows of each reference.
 
-    Keys of all references meet in one join, each key as one row: children and parents combine before their shuffle, so a
-    key with a third of all rows is one row. A null key is missing. A reference of which a table is absent gives a row
+    Uses of a key as child and as parent meet in one aggregate by (reference, key), which combines before its shuffle, so a
+    key with a third of all rows is one row and nothing is joined. A null key is missing. A reference of which a table is absent gives a row
     with ``checked`` false and null counts.
     """
     session = next(iter(tables.values())).sparkSession
     present = [r for r in references if r.child in tables and r.parent in tables]
-    names = session.createDataFrame([(r.label, r in present) for r in references], "check_name string, checked boolean")
+    names = session.createDataFrame([(i, r.label, r in present) for i, r in enumerate(references)], "check int, check_name string, checked boolean")
     if not present:
-        return names.select("*", F.lit(None).cast("long").alias("missing_count"), F.lit(None).cast("long").alias("orphan_rows"))
-    children = stack(_keyed(tables, [(r.label, r.child, r.column) for r in present]))
-    parents = stack(_keyed(tables, [(r.label, r.parent, r.parent_column) for r in present])).select("check_name", "key")
-    lost = children.join(parents, ["check_name", "key"], "left_anti").groupBy("check_name").agg(
+        return names.select("check_name", "checked", F.lit(None).cast("long").alias("missing_count"), F.lit(None).cast("long").alias("orphan_rows"))
+    by_table: dict[str, list[tuple[int, str, bool]]] = {}
+    for i, r in enumerate(references):
+        if r in present:
+            by_table.setdefault(r.child, []).append((i, r.column, False))
+            by_table.setdefault(r.parent, []).append((i, r.parent_column, True))
+    uses = stack([_uses(tables[t], columns) for t, columns in by_table.items()])
+    keys = uses.groupBy("check", "key").agg(F.sum("n").alias("n"), F.max("met").alias("met"))
+    lost = keys.filter((F.col("n") > 0) & ~F.col("met")).groupBy("check").agg(
         F.count(F.lit(1)).alias("missing_count"), F.sum("n").alias("orphan_rows")
     )
     # As many rows as references.
-    return names.join(F.broadcast(lost), "check_name", "left").select(
+    return names.join(F.broadcast(lost), "check", "left").select(
         "check_name", "checked", *(F.when(F.col("checked"), F.coalesce(c, F.lit(0).cast("long"))).alias(c) for c in ("missing_count", "orphan_rows"))
     )
