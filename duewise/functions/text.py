@@ -82,20 +82,27 @@ def dictionary_entries(words: dict[str, list[str]]) -> Column:
     ))
 
 
+def running_sums(values: Column) -> Column:
+    """Sum of each element of an int array and all before it, by doubling: the array is rewritten log2(size) times."""
+    turns = F.sequence(F.lit(0), F.ceil(F.log2(F.size(values) + 1)).cast("int"))
+
+    def turn(sums: Column, k: Column) -> Column:
+        back = F.call_function("shiftleft", F.lit(1), k)
+        return F.transform(sums, lambda x, i: x + F.coalesce(F.get(sums, i - back), F.lit(0)))
+
+    return F.aggregate(turns, values, turn)
+
+
 def occurrences(text: Column | str, needle: Column) -> Column:
-    """0-based positions of the non-overlapping occurrences of ``needle``, left to right."""
+    """0-based positions of the non-overlapping occurrences of ``needle``, left to right.
+
+    Work grows with the text and with hits times their logarithm, also where a very long text is full of hits.
+    """
     t = col(text)
     size = F.length(needle)
     parts = F.split(t, F.concat(F.lit(r"\Q"), needle, F.lit(r"\E")), F.lit(-1))
-    state = F.aggregate(
-        F.slice(parts, F.lit(1), F.size(parts) - 1),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("hits")),
-        lambda acc, part: F.struct(
-            (acc["at"] + F.length(part) + size).alias("at"),
-            F.array_append(acc["hits"], acc["at"] + F.length(part)).alias("hits"),
-        ),
-    )
-    return state["hits"]
+    steps = F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), lambda part: F.length(part) + size)
+    return F.transform(running_sums(steps), lambda end: end - size)
 
 
 def violations(text: Column, origin: Column, entries: Column) -> Column:
