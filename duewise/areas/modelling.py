@@ -14,6 +14,23 @@ from duewise.plans import models as md
 
 LOANS = ("dws_loan_status_snapshot_di",)
 STATES = ("dws_loan_status_snapshot_di",)
+NUMBERS = (
+    "loan_amount loan_term interest_rate mob due_amount log_due_amount days_since_due_date dpd_x_log_due_amount postloan_c_score "
+    "score_x_connect_rate initial_outstanding_amount outstanding_to_loan_ratio protect_flag sensitive_flag action_count_7d "
+    "connected_count_7d connect_rate_7d ptp_count_7d ptp_rate_7d days_since_last_action ai_action_count complaint_count ai_coverage_rate"
+).split()
+
+
+def scaled_sql() -> str:
+    """Median fill and standardisation by the training part, one expression for each column."""
+    medians = ", ".join(f"median(CAST({c} AS DOUBLE)) AS {c}" for c in NUMBERS)
+    filled = ", ".join(f"coalesce(CAST(s.{c} AS DOUBLE), m.{c}) AS {c}" for c in NUMBERS)
+    moments = ", ".join(f"avg({c}) AS {c}_a, stddev_samp({c}) AS {c}_d" for c in NUMBERS)
+    out = ", ".join(f"CASE WHEN {c}_d > 1e-12 THEN ({c} - {c}_a) / {c}_d ELSE 0.0 END AS {c}" for c in NUMBERS)
+    return f"""
+        SELECT loan_id, is_test, {out}
+        FROM (SELECT loan_id, is_test, {filled} FROM model_split s, (SELECT {medians} FROM model_split WHERE NOT is_test) m),
+             (SELECT {moments} FROM (SELECT {filled} FROM model_split s, (SELECT {medians} FROM model_split WHERE NOT is_test) m WHERE NOT is_test))"""
 
 
 def scored_labels(wh):
@@ -144,6 +161,10 @@ def register() -> None:
     add("order_average_percent_rank", lambda wh: average_percent_rank(scored_labels(wh), "score"), """
         SELECT *, (rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0::DOUBLE) / count(*) OVER () AS pct_rank
         FROM scored_label""", shared=LOANS, pct_rank=6)
+    add("model_training_medians", md.training_medians, " UNION ALL ".join(
+        f"SELECT '{c}' AS name, count({c}) AS \"values\", median(CAST({c} AS DOUBLE)) AS median FROM model_split WHERE NOT is_test" for c in NUMBERS),
+        shared=LOANS, median=6)
+    add("model_scaled_features", md.scaled_features, scaled_sql(), shared=LOANS, **dict.fromkeys(NUMBERS, 6))
     add("model_baseline_metrics", lambda wh: md.run_baseline(wh).metrics(), None, shared=LOANS)
     add("model_best", lambda wh: md.run_baseline(wh, ("logistic",)).best(), None, shared=LOANS)
     add("model_feature_importance", lambda wh: md.run_baseline(wh, ("logistic",)).importance("logistic"), None, shared=LOANS)

@@ -12,7 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from duewise.session import pin
+from duewise.session import drop_staged, stage
+
+SLICE_ROWS = 1 << 22
+PIECE_ROWS = 1 << 16
 
 
 def drop_null_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -41,37 +44,58 @@ def dedupe(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFram
     return first_per_key(df, keys, [F.col(c).asc() for c in order])
 
 
-def running_totals(df: DataFrame, order: Sequence[Column], sums: dict[str, str]) -> DataFrame:
+def running_totals(
+    df: DataFrame, order: Sequence[Column], sums: dict[str, str], slice_rows: int = SLICE_ROWS, piece_rows: int = PIECE_ROWS
+) -> DataFrame:
     """Global row position and running sums over a total order, without a single-task sort.
 
-    Rows are range-partitioned by ``order`` and pinned in the checkpoint folder, so both readers below see
-    the same slices. Slice totals (one row per partition) give each slice its offset; inside a slice a
-    window does the rest. ``order`` should end in a unique column, otherwise equal rows share a slice.
-    Adds ``position`` (1-based), ``row_total`` and, for every ``out: column`` in ``sums``, ``out`` and
-    ``out_total``.
+    The number of range slices follows the number of rows, and each sorted slice is written once with the row
+    numbers of its rows, so all readers see the same places. Positions need no window: the offset of the slice
+    and the row number give them. Sums run over pieces of at most ``piece_rows`` consecutive rows of a slice,
+    whatever the size of the slice; piece totals run within their slice and slice totals over all slices.
+    ``order`` should end in a unique column, otherwise equal rows share a slice. Adds ``position`` (1-based),
+    ``row_total`` and, for every ``out: column`` in ``sums``, ``out`` and ``out_total``.
     """
-    sliced = pin(df.repartitionByRange(*order).withColumn("_slice", F.spark_partition_id()))
-    totals = sliced.groupBy("_slice").agg(
+    rows = stage(df, "rows")
+    slices = max(1, -(-rows.count() // slice_rows))
+    placed = rows.repartitionByRange(slices, *order).sortWithinPartitions(*order)
+    sliced = stage(placed.withColumn("_at", F.monotonically_increasing_id()), "slices")
+    drop_staged(rows)
+    # A generated id is the partition number above the row number within the partition.
+    row = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    sliced = sliced.select(
+        "*", F.shiftright("_at", 33).alias("_slice"), row.alias("_row"), F.floor(row / piece_rows).alias("_piece")
+    )
+    pieces = sliced.groupBy("_slice", "_piece").agg(
         F.count(F.lit(1)).alias("_n"), *(F.sum(column).alias(f"_s_{out}") for out, column in sums.items())
     )
+    totals = pieces.groupBy("_slice").agg(F.sum("_n").alias("_n"), *(F.sum(f"_s_{o}").alias(f"_s_{o}") for o in sums))
     before = W.orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
     whole = W.orderBy("_slice").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    # One row per shuffle partition: bounded by the partition count, not by the data.
+    # One row for each slice, so one for ``slice_rows`` rows of the table.
     offsets = totals.select(
         "_slice",
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off_n"),
+        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"),
         F.sum("_n").over(whole).alias("row_total"),
         *(F.coalesce(F.sum(f"_s_{o}").over(before), F.lit(0)).alias(f"_off_{o}") for o in sums),
         *(F.sum(f"_s_{o}").over(whole).alias(f"{o}_total") for o in sums),
     )
-    inside = W.partitionBy("_slice").orderBy(*order)
-    upto = inside.rowsBetween(W.unboundedPreceding, W.currentRow)
-    out = sliced.join(F.broadcast(offsets), "_slice").withColumn(
-        "position", F.col("_off_n") + F.row_number().over(inside)
+    position = (F.col("_first") + F.col("_row") + 1).alias("position")
+    if not sums:
+        return sliced.join(offsets, "_slice").select(*df.columns, position, "row_total")
+    earlier = W.partitionBy("_slice").orderBy("_piece").rowsBetween(W.unboundedPreceding, -1)
+    starts = pieces.select(
+        "_slice", "_piece", *(F.coalesce(F.sum(f"_s_{o}").over(earlier), F.lit(0)).alias(f"_in_{o}") for o in sums)
+    ).join(offsets, "_slice")
+    upto = W.partitionBy("_slice", "_piece").orderBy("_row").rowsBetween(W.unboundedPreceding, W.currentRow)
+    running = sliced.select("*", *(F.sum(column).over(upto).alias(f"_run_{o}") for o, column in sums.items()))
+    return running.join(starts, ["_slice", "_piece"]).select(
+        *df.columns,
+        position,
+        "row_total",
+        *((F.col(f"_off_{o}") + F.col(f"_in_{o}") + F.coalesce(f"_run_{o}", F.lit(0))).alias(o) for o in sums),
+        *(f"{o}_total" for o in sums),
     )
-    for name, column in sums.items():
-        out = out.withColumn(name, F.col(f"_off_{name}") + F.sum(column).over(upto))
-    return out.drop("_slice", "_off_n", *(f"_off_{o}" for o in sums))
 
 
 def exact_median(df: DataFrame, value: str) -> DataFrame:
@@ -91,6 +115,35 @@ def exact_median(df: DataFrame, value: str) -> DataFrame:
     return running.agg((F.sum(F.col(value) * (covers(low) + covers(high))) / 2.0).alias("median"))
 
 
+def exact_medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(name, values, median) of many number columns at once; nulls and NaN are ignored.
+
+    All columns are counted by (column, value) in one aggregate, which combines before its shuffle, and one order
+    over these counts places the middles of every column. ``values`` is the number of values; the median of
+    none is null. ``columns`` are listed names, so the result has one row for each of them.
+    """
+    cells = F.explode(F.array(*(
+        F.struct(F.lit(i).alias("_column"), F.col(c).cast("double").alias("_value")) for i, c in enumerate(columns)
+    )))
+    flat = df.select(cells.alias("_cell")).select("_cell.*").filter(F.col("_value").isNotNull() & ~F.isnan("_value"))
+    counts = flat.groupBy("_column", "_value").agg(F.count(F.lit(1)).alias("_count"))
+    running = running_totals(counts, [F.col("_column"), F.col("_value")], {"_upto": "_count"})
+    # The order holds one column after the other: its places less those of the earlier columns.
+    sizes = running.groupBy("_column").agg(F.sum("_count").alias("_n"), F.min(F.col("_upto") - F.col("_count")).alias("_before"))
+    start, end = F.col("_upto") - F.col("_count") - F.col("_before"), F.col("_upto") - F.col("_before")
+
+    def covers(at: Column) -> Column:
+        return ((at >= start) & (at < end)).cast("int")
+
+    weight = covers(F.expr("(_n - 1) div 2")) + covers(F.expr("_n div 2"))
+    # At most one row for each listed column on the right.
+    middles = running.join(F.broadcast(sizes), "_column").filter(weight > 0).groupBy("_column").agg(
+        F.first("_n").alias("values"), (F.sum(F.col("_value") * weight) / 2.0).alias("median")
+    )
+    names = df.sparkSession.createDataFrame(list(enumerate(columns)), "_column int, name string")
+    return names.join(middles, "_column", "left").select("name", F.coalesce("values", F.lit(0)).alias("values"), "median")
+
+
 def ntile_of(position: Column, total: Column, buckets: int) -> Column:
     """Bucket of a 1-based position when the remainder goes to the first buckets (as SQL ``ntile``)."""
     size = F.floor(total / buckets)

@@ -104,6 +104,10 @@ CTES.update({
         FROM observation o LEFT JOIN dim_loan l ON l.loan_id = o.loan_id LEFT JOIN dim_customer u ON u.customer_id = o.customer_id
         LEFT JOIN score_asof s ON s.loan_id = o.loan_id LEFT JOIN case_feature c ON c.loan_id = o.loan_id
         LEFT JOIN recent_action r ON r.loan_id = o.loan_id""",
+    "model_split": """
+        SELECT * EXCLUDE (rn, n), rn <= round(n * 0.25) AS is_test
+        FROM (SELECT *, count(*) OVER (PARTITION BY is_recovered_d7) AS n,
+                     row_number() OVER (PARTITION BY is_recovered_d7 ORDER BY md5(loan_id || '-20260521'), loan_id) AS rn FROM model_dataset)""",
     "scored_label": """
         SELECT loan_id, is_recovered_d7 AS label, floor(due_amount / 1000) / 500.0::DOUBLE AS score FROM observation""",
     "sweep": """

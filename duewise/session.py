@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,6 +19,9 @@ LOCAL_DEFAULTS = {
     "spark.ui.enabled": "false",
 }
 
+#: Folders of staged frames that are in use, by frame.
+_FOLDERS: dict[int, str] = {}
+
 
 def build_session(master: str = "local[8]", shuffle_partitions: int = 8, driver_memory: str = "12g") -> SparkSession:
     """A session for tests and benches; a cluster brings its own."""
@@ -60,6 +65,22 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     still read only the columns they need, and a lost executor costs a re-read, not a recomputation.
     """
     root = ensure_checkpoint_dir(df.sparkSession)
-    path = f"{root.rstrip('/')}/staged-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    folder = f"{root.rstrip('/')}/staged-{uuid.uuid4().hex}"
+    df.write.parquet(f"{folder}/{name}")
+    atexit.register(_delete, df.sparkSession, folder)
+    out = df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
+    _FOLDERS[id(out)] = folder
+    weakref.finalize(out, _FOLDERS.pop, id(out), None)
+    return out
+
+
+def drop_staged(staged: DataFrame) -> None:
+    """Delete the folder of a frame that ``stage`` returned, when no later step reads it."""
+    _delete(staged.sparkSession, _FOLDERS[id(staged)])
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    if spark.sparkContext._jsc is None:
+        return
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
