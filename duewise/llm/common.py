@@ -36,11 +36,11 @@ class Workspace:
     def path(self, name: str = "") -> str:
         return f"{self.root}/{name}" if name else self.root
 
-    def stage(self, df: DataFrame, name: str) -> DataFrame:
+    def stage(self, df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
         before = self.spark.conf.get(FREE_SHUFFLES)
         self.spark.conf.set(FREE_SHUFFLES, "true")
         try:
-            df.write.parquet(self.path(name))
+            df.write.option("compression", compression).parquet(self.path(name))
         finally:
             self.spark.conf.set(FREE_SHUFFLES, before)
         return self.spark.read.schema(df.schema).parquet(self.path(name))

@@ -4,6 +4,10 @@ A line of length l is cut into ``edits`` + 1 segments. A line within that edit d
 segments unchanged, at a place that its own length narrows down: each line probes the segment index of the
 lengths from its own down to ``edits`` less with the few substrings that can matter. Candidates whose letter
 counts allow the distance are verified by a banded bit-parallel edit distance, all pairs of a batch at once.
+
+Lines of one key are first compared with one centre line of the key only, and what links contracts to a group, over
+several rounds; pairs are formed only of lines that are still in different groups. So k variants of a line cost k
+comparisons a round, and no link between groups is lost.
 """
 
 from __future__ import annotations
@@ -17,6 +21,7 @@ from pyspark.sql import types as T
 from duewise.llm.common import Workspace, map_rows, schema_with, table
 from duewise.llm.components import components
 from duewise.llm.hashing import mix, signed
+from duewise.llm.phrases import Bitmap
 from duewise.llm.registry import query
 
 EDITS = 2
@@ -157,8 +162,11 @@ def line_occurrences(docs: DataFrame) -> DataFrame:
     return trimmed.where("line != ''").select("*", F.xxhash64("line").alias("line_id"))
 
 
-def _keys(lines: DataFrame, edits: int, indexed: bool) -> DataFrame:
-    """key, number, counts of each segment that a line indexes, or of each that it probes."""
+def _keys(lines: DataFrame, edits: int, met: Bitmap | None = None) -> DataFrame:
+    """key, number, indexed of each segment that a line probes; ``indexed`` marks the line's own segments.
+
+    With ``met``, only of keys that it may hold, and with the line's letter counts.
+    """
 
     def run(batch: pa.RecordBatch) -> dict:
         texts = [_code_points(x) for x in batch.column("line").to_pylist()]
@@ -169,29 +177,28 @@ def _keys(lines: DataFrame, edits: int, indexed: bool) -> DataFrame:
             while stop < len(texts) and (stop == start or held + len(texts[stop]) <= _CHUNK):
                 held += len(texts[stop])
                 stop += 1
-            keys = segment_keys(texts[start:stop], edits, indexed)[0 if indexed else 1]
-            width = keys.shape[1]
-            outs.append((keys.ravel(), np.repeat(numbers[start:stop], width), np.repeat(letter_counts(texts[start:stop]), width)))
+            index, probe = segment_keys(texts[start:stop], edits)
+            own = np.zeros(probe.shape, bool)
+            for column in index.T:
+                own |= probe == column[:, None]
+            rows = np.repeat(np.arange(stop - start), probe.shape[1])
+            out = [probe.ravel(), numbers[start:stop][rows], own.ravel()]
+            if met is not None:
+                kept = met.may_hold(out[0])
+                out = [x[kept] for x in out]
+                out.append(letter_counts(texts[start:stop])[rows[kept]])
+            outs.append(out)
             start = stop
-        key, number, counts = (np.concatenate(x) for x in zip(*outs, strict=True))
-        return {"key": pa.array(signed(key)), "number": pa.array(number), "counts": pa.array(counts.view(np.int32))}
+        key, number, own, *counts = (np.concatenate(x) for x in zip(*outs, strict=True))
+        columns = {"key": pa.array(signed(key)), "number": pa.array(number), "indexed": pa.array(own)}
+        return columns | ({"counts": pa.array(counts[0].view(np.int32))} if counts else {})
 
-    return map_rows(lines.select("number", "line"), run, "key long, number long, counts int")
+    schema = "key long, number long, indexed boolean" + (", counts int" if met is not None else "")
+    return map_rows(lines.select("number", "line"), run, schema)
 
 
-def near_lines(lines: DataFrame, ws: Workspace, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """a, b: pairs of numbers of different lines (number, line; one row each) within the edit distance, each pair once.
-
-    Lines shorter than ``min_chars`` code points, which must exceed ``edits`` * 4, link with nothing.
-    """
-    long = lines.where(F.length("line") >= max(min_chars, 4 * edits + 1))
-    x, y = _keys(long, edits, True).alias("x"), _keys(long, edits, False).alias("y")
-    meet = (F.col("x.key") == F.col("y.key")) & (F.col("x.number") != F.col("y.number"))
-    allowed = _count_distance(F.col("x.counts"), F.col("y.counts")) <= 2 * edits
-    a, b = F.least("x.number", "y.number").alias("a"), F.greatest("x.number", "y.number").alias("b")
-    pairs = ws.stage(x.join(y, meet & allowed).select(a, b).distinct(), "pairs")
-    wanted = pairs.select(F.col("a").alias("number")).unionByName(pairs.select(F.col("b").alias("number"))).distinct()
-    texts = ws.stage(long.join(wanted, "number").select("number", "line"), "texts")
+def _verified(pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
+    """The pairs (a, b) whose lines are within the edit distance."""
     both = pairs.join(texts.select(F.col("number").alias("a"), F.col("line").alias("x")), "a").join(
         texts.select(F.col("number").alias("b"), F.col("line").alias("y")), "b"
     )
@@ -204,16 +211,75 @@ def near_lines(lines: DataFrame, ws: Workspace, edits: int = EDITS, min_chars: i
     return map_rows(both.select("a", "b", "x", "y"), check, "a long, b long")
 
 
+def _pair(a: str, b: str) -> list[Column]:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+
+def _open_keys(members: DataFrame) -> DataFrame:
+    """The rows of keys that still hold different groups, one of them with a line that indexes the key."""
+    keys = members.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.max("indexed").alias("indexed"))
+    return members.join(keys.where("low != high and indexed").select("key"), "key")
+
+
+def near_groups(lines: DataFrame, ws: Workspace, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+    """node, component of lines (number, line; one row each) that links within the edit distance join, also over others.
+
+    Lines shorter than ``min_chars`` code points, which must exceed ``edits`` * 4, link with nothing.
+    """
+    long = lines.where(F.length("line") >= max(min_chars, 4 * edits + 1))
+    # Keys that two lines meet at: two numbers and a mark for each key, which combine before the shuffle.
+    met = ws.stage(
+        _keys(long, edits).groupBy("key").agg(F.min("number").alias("low"), F.max("number").alias("high"), F.max("indexed").alias("indexed"))
+        .where("low != high and indexed").select("key"), "met",
+    )
+    bits = Bitmap(met, ("met", ws.path("met")))
+    rows = _keys(long, edits, bits).join(met, "key")
+    members = ws.stage(rows.select("key", "number", "indexed", "counts", F.col("number").alias("group")), "members-0")
+    texts = ws.stage(long.join(members.select("number").distinct(), "number").select("number", "line"), "texts", "zstd")
+    bits.close()
+    ws.drop("met")
+    alike = _count_distance(F.col("x.counts"), F.col("y.counts")) <= 2 * edits
+    apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.group") != F.col("y.group"))
+    links, turn = None, 0
+    groups = ws.spark.createDataFrame([], "node long, component long")
+
+    def linked(x: DataFrame, y: DataFrame, name: str) -> DataFrame:
+        pairs = ws.stage(x.alias("x").join(y.alias("y"), apart & alike).select(*_pair("x.number", "y.number")).distinct(), f"pairs-{name}")
+        new = ws.stage(_verified(pairs, texts, edits), f"links-{name}")
+        ws.drop(f"pairs-{name}")
+        return new
+
+    while True:
+        turn += 1
+        # Another line of each key is its centre in each round.
+        order = F.struct(F.xxhash64("number", F.lit(turn)), "number", "counts", "group")
+        centres = members.where("indexed").groupBy("key").agg(F.max(order).alias("c")).select("key", "c.number", "c.counts", "c.group")
+        new = linked(centres, members, str(turn))
+        found = new.count()
+        links = new if links is None else links.unionByName(new)
+        if found:
+            groups = ws.stage(components(links, ws, f"parts-{turn}"), f"groups-{turn}")
+        named = members.drop("group").join(groups.withColumnRenamed("node", "number"), "number", "left")
+        named = named.select("key", "number", "indexed", "counts", F.coalesce("component", "number").alias("group"))
+        members = ws.stage(_open_keys(named), f"members-{turn}")
+        ws.drop(f"members-{turn - 1}", f"groups-{turn - 1}")
+        # Rounds go on while they contract groups at a fair rate; the pairs of what is left are then few.
+        if found * 8 < members.count() or not found:
+            break
+    links = links.unionByName(linked(members.where("indexed"), members, "rest"))
+    groups = components(links, ws, "lines-parts")
+    ws.drop(f"members-{turn}", f"groups-{turn}", "texts")
+    return groups
+
+
 def line_classes(docs: DataFrame, ws: Workspace, edits: int = EDITS, min_chars: int = MIN_CHARS) -> tuple[DataFrame, DataFrame]:
     """(occurrences, classes): row_id, text_key, place, line_id of every line; line_id, component of linked lines."""
     every = line_occurrences(docs)
     occurrences = ws.stage(every.drop("line"), "occurrences")
     distinct = every.select("line_id", "line").dropDuplicates(["line_id"])
     # Numbers in a row take less room in the segment join than hashes.
-    lines = ws.stage(distinct.withColumn("number", F.monotonically_increasing_id()), "lines")
-    links = ws.stage(near_lines(lines, ws, edits, min_chars), "links")
-    ws.drop("pairs", "texts")
-    parts = components(links, ws, "lines-parts")
+    lines = ws.stage(distinct.withColumn("number", F.monotonically_increasing_id()), "lines", "zstd")
+    parts = near_groups(lines, ws, edits, min_chars)
     names = lines.select(F.col("number").alias("node"), "line_id")
     # A component takes the hash of its first line, as lines without links have their own.
     firsts = names.select(F.col("node").alias("component"), F.col("line_id").alias("class"))
