@@ -165,7 +165,7 @@ def line_occurrences(docs: DataFrame) -> DataFrame:
 def _keys(lines: DataFrame, edits: int, met: Bitmap | None = None) -> DataFrame:
     """key, number, indexed of each segment that a line probes; ``indexed`` marks the line's own segments.
 
-    With ``met``, only of keys that it may hold, and with the line's letter counts.
+    With ``met``, only of keys that it may hold, with the line's letter counts, and the line itself on its first row.
     """
 
     def run(batch: pa.RecordBatch) -> dict:
@@ -186,14 +186,19 @@ def _keys(lines: DataFrame, edits: int, met: Bitmap | None = None) -> DataFrame:
             if met is not None:
                 kept = met.may_hold(out[0])
                 out = [x[kept] for x in out]
-                out.append(letter_counts(texts[start:stop])[rows[kept]])
+                rows = rows[kept]
+                first = np.append(True, rows[1:] != rows[:-1])[: len(rows)]
+                out += [letter_counts(texts[start:stop])[rows].view(np.int32), np.where(first, rows + start, -1)]
             outs.append(out)
             start = stop
-        key, number, own, *counts = (np.concatenate(x) for x in zip(*outs, strict=True))
+        key, number, own, *more = (np.concatenate(x) for x in zip(*outs, strict=True))
         columns = {"key": pa.array(signed(key)), "number": pa.array(number), "indexed": pa.array(own)}
-        return columns | ({"counts": pa.array(counts[0].view(np.int32))} if counts else {})
+        if more:
+            at = pa.array(more[1], pa.int64(), mask=more[1] < 0)
+            columns |= {"counts": pa.array(more[0]), "line": batch.column("line").take(at)}
+        return columns
 
-    schema = "key long, number long, indexed boolean" + (", counts int" if met is not None else "")
+    schema = "key long, number long, indexed boolean" + (", counts int, line string" if met is not None else "")
     return map_rows(lines.select("number", "line"), run, schema)
 
 
@@ -233,9 +238,9 @@ def near_groups(lines: DataFrame, ws: Workspace, edits: int = EDITS, min_chars:
         .where("low != high and indexed").select("key"), "met",
     )
     bits = Bitmap(met, ("met", ws.path("met")))
-    rows = _keys(long, edits, bits).join(met, "key")
-    members = ws.stage(rows.select("key", "number", "indexed", "counts", F.col("number").alias("group")), "members-0")
-    texts = ws.stage(long.join(members.select("number").distinct(), "number").select("number", "line"), "texts", "zstd")
+    rows = ws.stage(_keys(long, edits, bits), "met-rows", "zstd")
+    members = ws.stage(rows.join(met, "key").select("key", "number", "indexed", "counts", F.col("number").alias("group")), "members-0")
+    texts = rows.where("line is not null").select("number", "line")
     bits.close()
     ws.drop("met")
     alike = _count_distance(F.col("x.counts"), F.col("y.counts")) <= 2 * edits
@@ -268,7 +273,7 @@ def near_groups(lines: DataFrame, ws: Workspace, edits: int = EDITS, min_chars:
             break
     links = links.unionByName(linked(members.where("indexed"), members, "rest"))
     groups = components(links, ws, "lines-parts")
-    ws.drop(f"members-{turn}", f"groups-{turn}", "texts")
+    ws.drop(f"members-{turn}", f"groups-{turn}", "met-rows")
     return groups
 
 
