@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from duewise.llm.common import Workspace, map_rows, schema_with, table
+from duewise.llm.common import Workspace, list_array, map_rows, schema_with, table
 from duewise.llm.components import components
 from duewise.llm.hashing import mix, signed
 from duewise.llm.phrases import Bitmap
@@ -29,6 +29,8 @@ EDITS = 2
 MIN_CHARS = 30
 #: One line stays of every class that two documents share. With a higher bound, of classes in fewer documents one in each.
 MIN_DOCUMENTS = 2
+#: Blocks of a line that have letter counts of their own.
+BLOCKS = 8
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 _P_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -44,6 +46,11 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
 _UP, _DOWN = _powers(_P, _CHUNK + 1), _powers(_P_INVERSE, _CHUNK + 1)
 
 
+def _moves(edits: int, less: int, number: int) -> range:
+    """Places that a segment can have moved by: edits before it and after it bound them."""
+    return range(max(-number, less - (edits - number)), min(number, less + (edits - number)) + 1)
+
+
 def segment_keys(lines: list[np.ndarray], edits: int = EDITS, indexed_only: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Index keys (one for each segment) and probe keys of each line of code points, as two matrices.
 
@@ -70,9 +77,7 @@ def segment_keys(lines: list[np.ndarray], edits: int = EDITS, indexed_only: bool
         at = np.zeros(len(lines), np.int64)
         for number in range(edits + 1):
             size = small + (number >= edits + 1 - larger)
-            # Edits before the segment and after it bound how far it can have moved.
-            moves = range(max(-number, less - (edits - number)), min(number, less + (edits - number)) + 1)
-            for move in (0,) if indexed_only else moves:
+            for move in (0,) if indexed_only else _moves(edits, less, number):
                 probe.append(key(indexed, number, at + move, size))
                 if less == 0 and move == 0:
                     index.append(probe[-1])
@@ -88,6 +93,26 @@ def letter_counts(lines: list[np.ndarray]) -> np.ndarray:
     return np.bitwise_or.reduce(counts << (np.arange(8, dtype=np.uint32) * np.uint32(4)), axis=1)
 
 
+def block_counts(lines: list[np.ndarray], edits: int = EDITS) -> np.ndarray:
+    """As :func:`letter_counts` for each of ``BLOCKS`` blocks, by line and by how much shorter the indexed length is.
+
+    Blocks are equal parts of the indexed length, so all lines of a key have blocks at the same places. An edit before
+    a block moves one character in and one out, an edit in it does no more.
+    """
+    lengths = np.array([len(x) for x in lines])
+    starts = np.cumsum(lengths) - lengths
+    classes = mix(np.concatenate(lines).astype(np.uint64)) >> np.uint64(61)
+    shifts = np.arange(8, dtype=np.uint32) * np.uint32(4)
+    places = [starts[:, None] + (lengths - less)[:, None] // BLOCKS * np.arange(BLOCKS + 1) for less in range(edits + 1)]
+    at = np.stack(places, axis=1)
+    out = np.zeros((len(lines), edits + 1, BLOCKS), np.uint32)
+    sums = np.zeros(len(classes) + 1, np.int32)
+    for k, shift in enumerate(shifts):
+        np.cumsum(classes == np.uint64(k), out=sums[1:])
+        out |= (np.diff(sums[at], axis=2).astype(np.uint32) & np.uint32(15)) << shift
+    return out
+
+
 def _count_distance(a: Column, b: Column) -> Column:
     """Least sum of changes of the class counts; an edit changes it by at most two."""
     total = F.lit(0)
@@ -98,6 +123,12 @@ def _count_distance(a: Column, b: Column) -> Column:
     return total
 
 
+def _alike(x: str, y: str, edits: int) -> Column:
+    """Whether the counts of two lines, and of each of their blocks, allow the distance."""
+    blocks = F.zip_with(f"{x}.blocks", f"{y}.blocks", lambda a, b: _count_distance(a, b) <= 2 * edits)
+    return (_count_distance(F.col(f"{x}.counts"), F.col(f"{y}.counts")) <= 2 * edits) & F.forall(blocks, lambda b: b)
+
+
 def within(pairs: list[tuple[np.ndarray, np.ndarray]], edits: int = EDITS) -> np.ndarray:
     """Whether the edit distance of each pair of code-point arrays is at most ``edits``.
 
@@ -165,13 +196,17 @@ def line_occurrences(docs: DataFrame) -> DataFrame:
 def _keys(lines: DataFrame, edits: int, met: Bitmap | None = None) -> DataFrame:
     """key, number, indexed of each segment that a line probes; ``indexed`` marks the line's own segments.
 
-    With ``met``, only of keys that it may hold, with the line's letter counts, and the line itself on its first row.
+    With ``met``, only of keys that it may hold, with the line's letter counts and those of its blocks, and the line
+    itself on its first row.
     """
 
+    # How much shorter than the line the indexed length of each probe is.
+    shorter = np.array([less for less in range(edits + 1) for number in range(edits + 1) for _ in _moves(edits, less, number)])
+
     def run(batch: pa.RecordBatch) -> dict:
         texts = [_code_points(x) for x in batch.column("line").to_pylist()]
         numbers = batch.column("number").to_numpy()
-        outs, start = [], 0
+        outs, carried, start = [], [], 0
         while start < len(texts):
             stop, held = start, 0
             while stop < len(texts) and (stop == start or held + len(texts[stop]) <= _CHUNK):
@@ -188,17 +223,26 @@ def _keys(lines: DataFrame, edits: int, met: Bitmap | None = None) -> DataFrame:
                 out = [x[kept] for x in out]
                 rows = rows[kept]
                 first = np.append(True, rows[1:] != rows[:-1])[: len(rows)]
-                out += [letter_counts(texts[start:stop])[rows].view(np.int32), np.where(first, rows + start, -1)]
+                # Counts only of lines that have a row.
+                found, place = rows[first], np.cumsum(first) - 1
+                lines = [texts[start + i] for i in found.tolist()]
+                if lines:
+                    blocks = block_counts(lines, edits)[place, np.tile(shorter, stop - start)[kept]].ravel().view(np.int32)
+                    carried.append(list_array(pa.array(blocks), [BLOCKS] * len(rows)))
+                    out += [letter_counts(lines)[place].view(np.int32), np.where(first, rows + start, -1)]
+                else:
+                    out += [rows.astype(np.int32), rows]
             outs.append(out)
             start = stop
         key, number, own, *more = (np.concatenate(x) for x in zip(*outs, strict=True))
         columns = {"key": pa.array(signed(key)), "number": pa.array(number), "indexed": pa.array(own)}
         if more:
             at = pa.array(more[1], pa.int64(), mask=more[1] < 0)
-            columns |= {"counts": pa.array(more[0]), "line": batch.column("line").take(at)}
+            blocks = pa.concat_arrays(carried) if carried else pa.array([], pa.list_(pa.int32()))
+            columns |= {"counts": pa.array(more[0]), "blocks": blocks, "line": batch.column("line").take(at)}
         return columns
 
-    schema = "key long, number long, indexed boolean" + (", counts int, line string" if met is not None else "")
+    schema = "key long, number long, indexed boolean" + (", counts int, blocks array<int>, line string" if met is not None else "")
     return map_rows(lines.select("number", "line"), run, schema)
 
 
@@ -239,11 +283,11 @@ def near_groups(lines: DataFrame, ws: Workspace, edits: int = EDITS, min_chars:
     )
     bits = Bitmap(met, ("met", ws.path("met")))
     rows = ws.stage(_keys(long, edits, bits), "met-rows", "zstd")
-    members = ws.stage(rows.join(met, "key").select("key", "number", "indexed", "counts", F.col("number").alias("group")), "members-0")
+    members = ws.stage(rows.join(met, "key").select("key", "number", "indexed", "counts", "blocks", F.col("number").alias("group")), "members-0")
     texts = rows.where("line is not null").select("number", "line")
     bits.close()
     ws.drop("met")
-    alike = _count_distance(F.col("x.counts"), F.col("y.counts")) <= 2 * edits
+    alike = _alike("x", "y", edits)
     apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.group") != F.col("y.group"))
     links, turn = None, 0
     groups = ws.spark.createDataFrame([], "node long, component long")
@@ -257,15 +301,15 @@ def near_groups(lines: DataFrame, ws: Workspace, edits: int = EDITS, min_chars:
     while True:
         turn += 1
         # Another line of each key is its centre in each round.
-        order = F.struct(F.xxhash64("number", F.lit(turn)), "number", "counts", "group")
-        centres = members.where("indexed").groupBy("key").agg(F.max(order).alias("c")).select("key", "c.number", "c.counts", "c.group")
+        order = F.struct(F.xxhash64("number", F.lit(turn)), "number", "counts", "blocks", "group")
+        centres = members.where("indexed").groupBy("key").agg(F.max(order).alias("c")).select("key", "c.number", "c.counts", "c.blocks", "c.group")
         new = linked(centres, members, str(turn))
         found = new.count()
         links = new if links is None else links.unionByName(new)
         if found:
             groups = ws.stage(components(links, ws, f"parts-{turn}"), f"groups-{turn}")
         named = members.drop("group").join(groups.withColumnRenamed("node", "number"), "number", "left")
-        named = named.select("key", "number", "indexed", "counts", F.coalesce("component", "number").alias("group"))
+        named = named.select("key", "number", "indexed", "counts", "blocks", F.coalesce("component", "number").alias("group"))
         members = ws.stage(_open_keys(named), f"members-{turn}")
         ws.drop(f"members-{turn - 1}", f"groups-{turn - 1}")
         # Rounds go on while they contract groups at a fair rate; the pairs of what is left are then few.
