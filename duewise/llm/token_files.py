@@ -15,6 +15,7 @@ import hashlib
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -167,6 +168,7 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_str(definition)
         # A part that holds a special token is left whole: the library finds them anywhere in a text.
         self.special = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.plain_letters = not any(s.isalpha() for s in self.special)
         self.letters = str.maketrans({chr(b): c for b, c in enumerate(byte_characters())})
         self.parts: dict[bytes, bytes] = _Learnt(self._part)
         self.words: dict[str, bytes] = {}
@@ -183,14 +185,18 @@ class WordEncoder:
         found = self.words.get(word)
         if found is None:
             plain = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
-            found = self.words[word] = np.array([t.id for t in self.tokenizer.model.tokenize(plain)], np.uint32).tobytes()
+            found = self.words[word] = array("I", [t.id for t in self.tokenizer.model.tokenize(plain)]).tobytes()
         return found
 
     def _part(self, part: bytes) -> bytes:
+        if self.plain_letters and part.isalpha() and part.islower():
+            # ASCII letters are one pre-token, met once as this part: no use in keeping it as a word too.
+            return array("I", [t.id for t in self.tokenizer.model.tokenize(part.decode())]).tobytes()
         text = part.decode("utf-8", "replace")
         words = None
-        if not any(s in text.lower() for s in self.special):
-            words = self._split(text.lower() if text.isascii() else self.tokenizer.normalizer.normalize_str(text))
+        lower = text.lower()
+        if not any(s in lower for s in self.special):
+            words = self._split(lower if text.isascii() else self.tokenizer.normalizer.normalize_str(text))
         if words is None:
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
         return b"".join([self._word(w) for w in words])
