@@ -30,6 +30,8 @@ CARRIED = 512
 PICKS = 3
 #: An n-gram of so large a share of the documents counts as frequent.
 FREQUENT = 0.002
+#: Rows of an n-gram from which its nodes meet a centre node, round by round, before they meet in pairs.
+CROWD = 16
 _SALTS = np.random.default_rng(51).integers(1, 2**63, STARS + 1, dtype=np.uint64)
 
 
@@ -204,6 +206,31 @@ def _allowed(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return both.where(may).select(*pairs.columns)
 
 
+def _contracted(crowds: DataFrame, groups: DataFrame, keyed: DataFrame, nodes: DataFrame, size: int, percent: int, ws: Workspace) -> DataFrame:
+    """``groups`` after rounds of links between the nodes of an n-gram (gram, node) and one centre node of it.
+
+    Each round has new centres, so a node costs one comparison a round for each of its n-grams, not one for each
+    other node. Rounds end when they no longer join one in 32 of the groups; links that none has met stay for the tiles.
+    """
+    turn = 0
+    while True:
+        turn += 1
+        named = crowds.join(groups, "node", "left").select("gram", "node", F.coalesce("component", "node").alias("part"))
+        before = named.agg(F.countDistinct("part")).first()[0]
+        order = F.struct(F.xxhash64("node", "gram", F.lit(turn)), "node", "part")
+        centres = named.groupBy("gram").agg(F.max(order).alias("c")).select("gram", F.col("c.node").alias("centre"), F.col("c.part").alias("its"))
+        met = named.join(centres, "gram").where("part != its").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
+        pairs = ws.stage(_allowed(met.distinct(), nodes, percent), f"crowd-pairs-{turn}")
+        links = ws.stage(_linked(pairs, _sets(pairs, keyed, nodes, size, ws, f"crowd-{turn}"), percent), f"crowd-links-{turn}")
+        ws.drop(f"crowd-pairs-{turn}", f"crowd-{turn}-places", f"crowd-{turn}-sets")
+        if links.isEmpty():
+            return groups
+        groups = _joined_groups(groups, links, ws, f"crowd-groups-{turn}")
+        after = crowds.join(groups, "node", "left").agg(F.countDistinct(F.coalesce("component", "node"))).first()[0]
+        if after * 32 > before * 31:
+            return groups
+
+
 def near_duplicates(docs: DataFrame, ws: Workspace, size: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles and component_id of each row of ``docs``; see :func:`grouped_rows` for the rows' keys.
 
@@ -280,15 +307,24 @@ def grouped_rows(docs: DataFrame, ws: Workspace, size: int, percent: int) -> Dat
     )
     ws.drop("prefixes")
     shared = ws.stage(
-        tokens.groupBy("gram").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low != high").select("gram"), "shared"
+        tokens.groupBy("gram").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count(F.lit(1)).alias("rows"))
+        .where("low != high").select("gram", "rows"), "shared",
     )
+    crowds = ws.stage(tokens.join(shared.where(F.col("rows") >= CROWD).select("gram"), "gram").select("gram", "node").distinct(), "crowds")
+    groups = _contracted(crowds, groups, keyed, nodes, size, percent, ws)
+    ws.drop("crowds")
     # Bitmaps travel with the rows of sets of ordinary size; those of very large sets are looked at once a pair.
     none = F.array().cast("array<long>")
     small = nodes.select("node", "n", "band", *(F.when(F.col("n") <= CARRIED, F.col(c)).otherwise(none).alias(c) for c in ("own", "low")))
-    met = ws.stage(tokens.join(shared, "gram").distinct().join(small, "node"), "met")
+    now = groups.select("node", F.col("component").alias("now"))
+    places = tokens.join(shared.select("gram"), "gram").distinct().join(now, "node", "left").withColumn("part", F.coalesce("now", "part")).drop("now")
+    met = ws.stage(places.join(small, "node"), "met")
     ws.drop("tokens", "shared")
-    x = met.withColumn("tile", F.col("band")).alias("x")
-    y = met.withColumn("tile", F.explode(F.array("band", F.col("band") - 1))).alias("y")
+    # Each row brings the one bitmap that its tile compares: its own band's, or that of the band below.
+    plain = ["node", "part", "place", "gram", "n", "band"]
+    x = met.select(*plain, F.col("band").alias("tile"), "own").alias("x")
+    sides = F.array(F.struct(F.col("band").alias("tile"), "own"), F.struct((F.col("band") - 1).alias("tile"), F.col("low").alias("own")))
+    y = met.select(*plain, F.explode(sides).alias("side")).select(*plain, "side.tile", "side.own").withColumn("low", F.col("own")).alias("y")
     order = (F.col("x.n") < F.col("y.n")) | (F.col("x.node") < F.col("y.node"))
     tiles = (F.col("x.gram") == F.col("y.gram")) & (F.col("x.tile") == F.col("y.tile")) & (F.col("x.part") != F.col("y.part"))
     # The first common n-gram leaves room for the overlap behind it in both sets.
