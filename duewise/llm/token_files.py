@@ -11,6 +11,7 @@ whose upper bits are the place of a value of more than sixty bits in the record'
 
 from __future__ import annotations
 
+import codecs
 import hashlib
 import os
 import re
@@ -37,11 +38,18 @@ COUNTS = np.array([1, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
 BITS = np.array([64, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 
 
+def _widths(values: np.ndarray) -> np.ndarray:
+    """Bits of each value."""
+    return np.searchsorted(np.uint64(1) << np.arange(64, dtype=np.uint64), values, side="right").astype(np.uint8)
+
+
+_WIDTHS = _widths(np.arange(1 << 16, dtype=np.uint64))
+
+
 def _selectors(bits: np.ndarray) -> np.ndarray:
     """For each place of each block, the selector that packs the most values from there."""
     blocks, width = bits.shape
     best = np.zeros((blocks, width), np.uint8)
-    open_ = np.ones((blocks, width), bool)
     padded = np.zeros((blocks, width + 120), np.uint8)
     padded[:, :width] = bits
     # Largest width over the next 2**k values; two overlapping runs give any count.
@@ -51,13 +59,12 @@ def _selectors(bits: np.ndarray) -> np.ndarray:
         longer = last.copy()
         np.maximum(last[:, :-step], last[:, step:], out=longer[:, :-step])
         runs.append(longer)
-    for selector in range(1, 16):
+    # Those of fewer, wider values first: what packs more takes their place.
+    for selector in range(15, 0, -1):
         count = int(COUNTS[selector])
         k = count.bit_length() - 1
         most = np.maximum(runs[k][:, :width], runs[k][:, count - (1 << k) : count - (1 << k) + width])
-        fits = open_ & (most <= BITS[selector])
-        best[fits] = selector
-        open_ &= ~fits
+        np.copyto(best, np.uint8(selector), where=most <= np.uint8(BITS[selector]))
     return best
 
 
@@ -67,7 +74,7 @@ def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     blocks = -(-n // BLOCK)
     grid = np.zeros(blocks * BLOCK, np.uint64)
     grid[:n] = values
-    bits = np.searchsorted(np.uint64(1) << np.arange(64, dtype=np.uint64), grid, side="right").astype(np.uint8)
+    bits = _WIDTHS[grid.astype(np.int64)] if grid.max(initial=0) < len(_WIDTHS) else _widths(grid)
     best = _selectors(bits.reshape(blocks, BLOCK))
     sizes = np.full(blocks, BLOCK)
     if n % BLOCK:
@@ -87,15 +94,18 @@ def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     order = np.argsort(place)
     place, selector, owner = place[order], selector[order], owner[order]
     words = selector.astype(np.uint64)
-    reach = np.concatenate([grid, np.zeros(120, np.uint64)])
+    # Zeros follow each block: values beyond it belong to the next one.
+    reach = np.zeros((blocks, BLOCK + 120), np.uint64)
+    reach[:, :BLOCK] = grid.reshape(blocks, BLOCK)
+    reach = reach.ravel()
     for s in range(2, 16):
         mine = np.flatnonzero(selector == s)
         if len(mine):
-            shifts = np.arange(COUNTS[s], dtype=np.uint64) * np.uint64(BITS[s]) + np.uint64(4)
-            taken = reach[place[mine, None] + np.arange(COUNTS[s])]
-            # Values beyond the block belong to the next one.
-            taken[(place[mine, None] % BLOCK) + np.arange(COUNTS[s]) >= BLOCK] = 0
-            words[mine] |= np.bitwise_or.reduce(taken << shifts, axis=1)
+            at = place[mine] + 120 * owner[mine]
+            word = np.full(len(mine), s, np.uint64)
+            for k in range(int(COUNTS[s])):
+                word |= reach[at + k] << np.uint64(k * int(BITS[s]) + 4)
+            words[mine] = word
     escaped = np.flatnonzero(selector == 0)
     words[escaped] |= np.arange(len(escaped), dtype=np.uint64) << np.uint64(4)
     return words, np.searchsorted(owner, np.arange(blocks)).astype(np.uint32), grid[place[escaped]]
@@ -103,22 +113,27 @@ def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def unpack(words: np.ndarray, offsets: np.ndarray, escapes: np.ndarray, n: int) -> np.ndarray:
     """The ``n`` values of :func:`pack`; every selector's words are decoded at once."""
-    selector = (words & np.uint64(15)).astype(np.int64)
+    selector = (words & np.uint64(15)).astype(np.uint8)
     counts = COUNTS[selector]
-    before = np.cumsum(counts) - counts
-    block = np.repeat(np.arange(len(offsets)), np.diff(np.append(offsets, len(words))))
-    place = before - before[offsets[block]] + block * BLOCK
-    out = np.zeros(len(offsets) * BLOCK + 120, np.uint64)
+    ends = np.cumsum(counts)
+    # Each word's values follow those of the word before, also what the last word of a block holds beyond the block.
+    at = ends - counts
+    out = np.zeros(int(counts.sum()), np.uint64)
     for s in range(2, 16):
         mine = np.flatnonzero(selector == s)
         if len(mine):
-            shifts = np.arange(COUNTS[s], dtype=np.uint64) * np.uint64(BITS[s]) + np.uint64(4)
-            got = (words[mine, None] >> shifts) & np.uint64((1 << int(BITS[s])) - 1)
-            where = place[mine, None] + np.arange(COUNTS[s])
-            inside = where < (block[mine, None] + 1) * BLOCK
-            out[where[inside]] = got[inside]
+            first, word, low = at[mine], words[mine], np.uint64((1 << int(BITS[s])) - 1)
+            for k in range(int(COUNTS[s])):
+                out[first + k] = (word >> np.uint64(k * int(BITS[s]) + 4)) & low
     escaped = np.flatnonzero(selector == 0)
-    out[place[escaped]] = escapes[(words[escaped] >> np.uint64(4)).astype(np.int64)]
+    out[at[escaped]] = escapes[(words[escaped] >> np.uint64(4)).astype(np.int64)]
+    if len(offsets) > 1:
+        starts = at[offsets]
+        beyond = np.diff(starts) - BLOCK
+        kept = np.ones(len(out), bool)
+        places = np.repeat(starts[1:] - np.cumsum(beyond), beyond) + np.arange(int(beyond.sum()))
+        kept[places] = False
+        out = out[kept]
     return out[:n]
 
 
@@ -153,12 +168,18 @@ class WordEncoder:
 
     The tokenizer drops white space before its merges and lower-cases, so a text's ids are those of its parts
     between ASCII white space, one after another. A part is normalised and then split, as the library does; what
-    the split does not cover goes to the library whole. Parts and words met before come from bounded caches.
+    the split does not cover goes to the library whole. Parts and words met before come from bounded caches: a full
+    cache is looked through once more while the next one fills.
     """
 
-    KEEP = 300_000
-    _VISIBLE = re.compile("[!-&(-~]+")
-    _ASCII = re.compile("[a-z]+|[0-9]|[^a-z0-9]+")
+    KEEP = 600_000
+    #: Visible ASCII without capitals, and without the apostrophe, which the split may take into a piece with letters.
+    _VISIBLE = re.compile(rb"[!-&(-@\[-~]+")
+    _ASCII = re.compile(rb"[a-z]+|[0-9]|[^a-z0-9]+")
+    #: Lower-case letters that normalising leaves alone, then signs.
+    _LATIN = re.compile(rb"((?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+)([!-&(-/:-@\[-`{-~]*)")
+    _PLAIN = re.compile("[!-&(-~]+")
+    _PIECES = re.compile("[a-z]+|[0-9]|[^a-z0-9]+")
     _SIGNED = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]*)")
 
     def __init__(self, definition: str):
@@ -166,57 +187,73 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
+        self.merge = self.tokenizer.model.tokenize
         # A part that holds a special token is left whole: the library finds them anywhere in a text.
-        self.special = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.plain_letters = not any(s.isalpha() for s in self.special)
-        self.letters = str.maketrans({chr(b): c for b, c in enumerate(byte_characters())})
+        special = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.plain_letters = not any(s.isalpha() for s in special)
+        self.special = re.compile(b"|".join(re.escape(s.encode()) for s in special) if special else b"(?!)")
+        # Whether letters and signs after them can hold no special token.
+        self.plain_latin = not any(re.fullmatch(r"[^\W\d_]*[!-/:-@\[-`{-~]*", s) for s in special)
+        self.letters = "".join(byte_characters())
         self.parts: dict[bytes, bytes] = _Learnt(self._part)
-        self.words: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = _Learnt(self._word)
 
     def _split(self, part: str) -> list[str] | None:
         """The pre-tokens of a normalised part where they are plain to see; else None."""
-        if self._VISIBLE.fullmatch(part):
-            return self._ASCII.findall(part)
+        if self._PLAIN.fullmatch(part):
+            return self._PIECES.findall(part)
         signed = self._SIGNED.fullmatch(part)
         return [w for w in signed.groups() if w] if signed and signed[1].isalpha() else None
 
-    def _word(self, word: str) -> bytes:
+    def _word(self, word: str | bytes) -> bytes:
         """Ids of one pre-token of normalised text, by the library's merges."""
-        found = self.words.get(word)
-        if found is None:
-            plain = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
-            found = self.words[word] = array("I", [t.id for t in self.tokenizer.model.tokenize(plain)]).tobytes()
-        return found
+        plain = codecs.charmap_decode(word if isinstance(word, bytes) else word.encode(), "strict", self.letters)[0]
+        return array("I", [t.id for t in self.merge(plain)]).tobytes()
 
     def _part(self, part: bytes) -> bytes:
         if self.plain_letters and part.isalpha() and part.islower():
-            # ASCII letters are one pre-token, met once as this part: no use in keeping it as a word too.
-            return array("I", [t.id for t in self.tokenizer.model.tokenize(part.decode())]).tobytes()
+            # ASCII letters are one pre-token, in the model's letters as they are.
+            return array("I", [t.id for t in self.merge(part.decode())]).tobytes()
+        # Pieces of a part are parts with the same ids and kept as such; one piece is a pre-token.
+        latin = self._LATIN.fullmatch(part) if self.plain_latin else None
+        if latin:
+            return self.parts[latin[1]] + self.parts[latin[2]] if latin[2] else self._word(part)
+        if self._VISIBLE.fullmatch(part) and not self.special.search(part):
+            pieces = self._ASCII.findall(part)
+            return b"".join(map(self.parts.__getitem__, pieces)) if len(pieces) > 1 else self._word(part)
         text = part.decode("utf-8", "replace")
         words = None
         lower = text.lower()
-        if not any(s in lower for s in self.special):
+        if not self.special.search(lower.encode()):
             words = self._split(lower if text.isascii() else self.tokenizer.normalizer.normalize_str(text))
         if words is None:
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
-        return b"".join([self._word(w) for w in words])
+        return b"".join(map(self.words.__getitem__, words))
+
+    def data(self, text: bytes) -> bytes:
+        """The ids as unsigned 32-bit integers."""
+        if len(self.parts) > self.KEEP:
+            self.parts = _Learnt(self._part, self.parts)
+        if len(self.words) > self.KEEP:
+            self.words = _Learnt(self._word, self.words)
+        parts = text.split() if b"<|" in text else text.lower().split()
+        return b"".join(map(self.parts.__getitem__, parts))
 
     def ids(self, text: bytes) -> np.ndarray:
-        for cache, most in ((self.parts, self.KEEP), (self.words, 2 * self.KEEP)):
-            if len(cache) > most:
-                cache.clear()
-        parts = text.split() if b"<|" in text else text.lower().split()
-        return np.frombuffer(b"".join(map(self.parts.__getitem__, parts)), np.uint32)
+        return np.frombuffer(self.data(text), np.uint32)
 
 
 class _Learnt(dict):
-    """A cache that asks ``make`` for what it lacks."""
+    """A cache that asks ``make`` for what neither it nor the full cache before it has."""
 
-    def __init__(self, make):
-        self.make = make
+    def __init__(self, make, before: dict | None = None):
+        self.make, self.before = make, dict(before or ())
 
     def __missing__(self, key):
-        found = self[key] = self.make(key)
+        found = self.before.pop(key, None)
+        if found is None:
+            found = self.make(key)
+        self[key] = found
         return found
 
 
@@ -235,8 +272,9 @@ def _encoder(spark: SparkSession, definition: str, end_id: int):
 
     def encode(batch: pa.RecordBatch) -> pa.RecordBatch:
         encoder = per_worker("word encoder", key, lambda: WordEncoder(shared.value))
-        found = [np.append(encoder.ids(t), np.uint32(end_id)) for t in texts_of(batch)]
-        ids = list_array(pa.array(np.concatenate(found).astype(np.int32)), [len(x) for x in found])
+        end = np.array([end_id], np.uint32).tobytes()
+        found = [encoder.data(t) + end for t in texts_of(batch)]
+        ids = list_array(pa.array(np.frombuffer(b"".join(found), np.int32)), [len(x) // 4 for x in found])
         return pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "ids": ids})
 
     return encode
