@@ -8,7 +8,7 @@ beginnings, and tells it which phrase it extends; beginnings that lie before a p
 most, are looked up in the counts. Both passes meet in a merge join in the order of the phrases.
 
 Only frequent phrases enter the streams. Longer phrases are counted where all their pairs of words are frequent,
-which bitmaps of fixed size tell the tasks; a bit set by another pair costs work, never a wrong count.
+which bitmaps of bounded size tell the tasks; a bit set by another pair costs work, never a wrong count.
 """
 
 from __future__ import annotations
@@ -33,10 +33,10 @@ LEAST, LONGEST, RETURNED = 30, 4, 2000
 KEPT_SHARE = 80
 SCALE = 2_000_000
 UNKNOWN_LANGUAGE = "und"
-#: Bits of a bitmap: 16 MB.
-BITS = 27
-#: Distinct phrases of a task that are added up before they are handed on.
-ROOM = 1 << 20
+#: Bits of the largest bitmap (16 MB) as a power of two; a bitmap has ``SPARE`` bits a key where they fit.
+BITS, SPARE = 27, 32
+#: Phrases that a task holds; they are added up, and handed on only if more than half as many differ.
+ROOM = 3 << 19
 #: Seeds that are tried; two of 10^9 words share a key under one seed in forty.
 SEEDS = 20
 
@@ -135,68 +135,107 @@ def keyed_words(docs: DataFrame, ws: Workspace) -> tuple[DataFrame, int]:
 
 
 class Bitmap:
-    """Which keys may be frequent: one bit for each value of a key's leading bits, of fixed size."""
+    """Which keys may be frequent: two bits for each key, by its leading and its last bits, in a size that follows their number.
+
+    Where the largest size has too few bits for that, one bit for each key. So the driver holds and sends no more than the keys need.
+    """
 
     def __init__(self, keys: DataFrame, name: tuple[str, str]):
         """Of a table whose columns are the keys of one word, or of the two words of a pair."""
+        n = keys.count()
+        self.size = min(BITS, max(16, (SPARE * n).bit_length()))
+        self.both = 2 * n < 1 << self.size
+        places = self._places
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 own = [c.to_numpy().view(np.uint64) for c in batch.columns]
-                yield pa.RecordBatch.from_arrays([pa.array(_bit(own[0] if len(own) == 1 else pair_key(*own)) + 1)], names=["bit"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(places(own[0] if len(own) == 1 else pair_key(*own))) + 1)], names=["bit"])
 
         # The functions count bits from 1.
         rows = keys.mapInArrow(run, "bit long").select(F.bitmap_bucket_number("bit").alias("bucket"), F.bitmap_bit_position("bit").alias("at"))
         parts = rows.groupBy("bucket").agg(F.bitmap_construct_agg("at").alias("bits"))
-        bits = np.zeros(1 << (BITS - 3), np.uint8)
+        bits = np.zeros(1 << (self.size - 3), np.uint8)
         for r in parts.toLocalIterator():
             a = 4096 * (int(r.bucket) - 1)
-            bits[a : a + len(r.bits)] = np.frombuffer(bytes(r.bits), np.uint8)
+            bits[a : a + len(r.bits)] = np.frombuffer(bytes(r.bits), np.uint8)[: len(bits) - a]
         self.name, self.shared = name, keys.sparkSession.sparkContext.broadcast(bits.tobytes())
 
+    @property
+    def _places(self):
+        """The places of keys, without the table behind them."""
+        size, both = self.size, self.both
+
+        def places(keys: np.ndarray) -> list[np.ndarray]:
+            first = (keys >> np.uint64(64 - size)).astype(np.int64)
+            return [first, (keys & np.uint64((1 << size) - 1)).astype(np.int64)] if both else [first]
+
+        return places
+
     def may_hold(self, keys: np.ndarray) -> np.ndarray:
         bits = per_worker(f"bitmap {self.name[0]}", self.name, lambda: np.frombuffer(self.shared.value, np.uint8))
-        bit = _bit(keys)
-        return (bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 != 0
+        first, *second = self._places(keys)
+        out = (bits[first >> 3] >> (first & 7).astype(np.uint8)) & 1 != 0
+        for bit in second:
+            # Few keys are left to look at once more.
+            left = np.flatnonzero(out)
+            bit = bit[left]
+            out[left] = (bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 != 0
+        return out
 
     def close(self) -> None:
         """Free the bitmap; the tables counted by it are written."""
         self.shared.destroy()
 
 
-def _bit(keys: np.ndarray) -> np.ndarray:
-    return (keys >> np.uint64(64 - BITS)).astype(np.int64)
-
-
 def pair_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mix(a * np.uint64(0x9E3779B97F4A7C15) + b)
 
 
 class Counts:
-    """Phrases of a task as rows of keys, added up whenever ``ROOM`` rows are held."""
+    """Phrases of a task as rows of keys with counts. Equal ones are added up whenever ``ROOM`` rows are held.
+
+    What is added up stays until the task's end, unless it fills more than half the room. So a task hands on each phrase once
+    if it meets no more than ``ROOM`` / 2 different ones.
+    """
 
     def __init__(self, width: int):
-        self.width, self.rows, self.held = width, [], 0
+        self.width, self.rows, self.counts, self.held, self.summed = width, [], [], 0, False
 
     def add(self, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
         if len(rows):
             self.rows.append(rows)
+            self.counts.append(np.ones(len(rows), np.int64))
             self.held += len(rows)
+            self.summed = False
         if self.held >= ROOM:
-            yield from self.take()
+            self._sum()
+            if self.held > ROOM // 2:
+                yield from self.take()
+
+    def _sum(self) -> None:
+        if self.summed:
+            return
+        rows, counts = np.concatenate(self.rows), np.concatenate(self.counts)
+        self.rows, self.counts = [], []
+        # In order of one hash; phrases that share it may stay in several rows, which Spark adds up.
+        hashes = rows[:, 0].copy()
+        for k in range(1, self.width):
+            hashes = pair_key(hashes, rows[:, k])
+        order = np.argsort(hashes)
+        rows, counts = rows[order], counts[order]
+        first = np.flatnonzero(np.r_[True, (rows[1:] != rows[:-1]).any(1)])
+        self.rows, self.counts, self.held = [rows[first]], [np.add.reduceat(counts, first)], len(first)
+        self.summed = True
 
     def take(self) -> Iterator[pa.RecordBatch]:
         if not self.held:
             return
-        rows = np.concatenate(self.rows)
-        self.rows, self.held = [], 0
-        order = np.lexsort(rows.T[::-1])
-        rows = rows[order]
-        first = np.flatnonzero(np.r_[True, (rows[1:] != rows[:-1]).any(1)])
-        counts = np.diff(np.append(first, len(rows)))
-        rows = rows[first].view(np.int64)
+        self._sum()
+        rows, counts = self.rows[0].view(np.int64), self.counts[0]
+        self.rows, self.counts, self.held = [], [], 0
         arrays = [pa.array(np.ascontiguousarray(rows[:, k])) for k in range(self.width)]
-        yield pa.RecordBatch.from_arrays([*arrays, pa.array(counts.astype(np.int64))], names=[*KEYS[: self.width], "n"])
+        yield pa.RecordBatch.from_arrays([*arrays, pa.array(counts)], names=[*KEYS[: self.width], "n"])
 
 
 def count_pairs(docs: DataFrame, seed: int, words: Bitmap) -> DataFrame:

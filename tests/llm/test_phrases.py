@@ -89,3 +89,42 @@ def test_odd_tables(spark):
     got = ph.find_phrases(spark.createDataFrame([(None, None, 1, 2, "k"), (long, None, 3, 4, "k")], schema), Workspace(spark, "t")).collect()
     # The longer phrases have nearly the same counts, so only those of four words stay.
     assert sorted((r.lang, r.phrase, r.a, r.n) for r in got) == [("und", "a b a b", 399_999, 800_001), ("und", "b a b a", 399_998, 800_001)]
+
+
+def test_a_task_hands_on_each_phrase_once(monkeypatch):
+    monkeypatch.setattr(ph, "ROOM", 64)
+    rng = np.random.default_rng(3)
+    counts, out, want = ph.Counts(4), [], Counter()
+    for _ in range(40):
+        rows = rng.integers(0, 2, (30, 4)).astype(np.uint64)
+        want.update(map(tuple, rows.tolist()))
+        out += counts.add(rows)
+    out += counts.take()
+    got = [tuple(r[k] for k in (*ph.KEYS, "n")) for b in out for r in b.to_pylist()]
+    assert sorted(got) == sorted((*k, n) for k, n in want.items())
+
+
+def test_more_phrases_than_room(monkeypatch):
+    monkeypatch.setattr(ph, "ROOM", 64)
+    rng = np.random.default_rng(4)
+    counts, out, want = ph.Counts(2), [], Counter()
+    for _ in range(40):
+        rows = rng.integers(0, 40, (30, 2)).astype(np.uint64)
+        want.update(map(tuple, rows.tolist()))
+        out += counts.add(rows)
+    got = Counter()
+    for b in [*out, *counts.take()]:
+        for r in b.to_pylist():
+            got[r["w1"], r["w2"]] += r["n"]
+    assert got == want
+
+
+def test_bitmaps_follow_the_number_of_keys(spark):
+    keys = ph.mix(np.arange(1, 4001, dtype=np.uint64))
+    df = spark.createDataFrame([(int(k),) for k in keys[:2000].view(np.int64)], "key long")
+    bitmap = ph.Bitmap(df, ("t", "t"))
+    assert len(bitmap.shared.value) <= 2000 * ph.SPARE // 4
+    assert bitmap.may_hold(keys[:2000]).all() and bitmap.may_hold(keys[2000:]).sum() < 60
+    bitmap.close()
+    few = ph.Bitmap(df.where("false"), ("none", "none"))
+    assert not few.may_hold(keys).any()
