@@ -333,8 +333,10 @@ def grouped_rows(docs: DataFrame, ws: Workspace, size: int, percent: int) -> Dat
     sizes = (F.col("x.n") <= F.col("y.n")) & (100 * F.col("x.n") >= percent * F.col("y.n"))
     large = (F.size("x.own") == 0) | (F.size("y.own") == 0)
     near = x.join(y, tiles & order & sizes & room[0] & room[1] & F.when(large, F.lit(True)).otherwise(_may_link("x", "y", percent)))
-    candidates = ws.stage(near.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), "candidates")
-    pairs = ws.stage(_allowed(candidates, nodes, percent), "pairs")
+    candidates = ws.stage(near.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), large.alias("large")).distinct(), "candidates")
+    # The tiles have compared the bitmaps that they carry; only those of very large sets are left to compare.
+    rest = _allowed(candidates.where("large").select("a", "b"), nodes, percent)
+    pairs = ws.stage(candidates.where("not large").select("a", "b").unionByName(rest), "pairs")
     ws.drop("candidates", "met")
     sets = _sets(pairs, keyed, nodes, size, ws, "tile")
     # One link joins two groups: some pairs of each two groups first, the rest only for groups still apart.
