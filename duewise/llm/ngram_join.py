@@ -1,8 +1,9 @@
 """Exact Jaccard join of documents by their word n-grams, and the components of its links.
 
 Documents of one set of n-grams are one node. Nodes meet in tiles: a tile is an n-gram of the prefix (so short
-that two linked nodes share one of it) and a size band; in a tile, hashed bitmaps give an upper bound of the
-overlap by bit counts, and pairs that pass it are checked by the intersection of their sorted n-gram arrays.
+that two linked nodes share one of it) and a size band; in a tile, bitmaps of the parity of hashed n-grams give a
+lower bound of the n-grams that only one of two sets has, whatever they share, and pairs that pass it are checked by
+the intersection of their sorted n-gram arrays.
 Before that, links to star centres, found by equal least hashes and checked the same way, contract groups of
 near copies, so that the tiles only compare nodes of different groups: no link between groups is lost, and
 no group is expanded into its pairs. N-grams of many documents come last in the prefix order.
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 from duewise.llm.common import Workspace, list_array, map_rows, table, texts_of
 from duewise.llm.components import components
 from duewise.llm.hashing import mix, range_hashes, signed, window_hashes, word_hashes
+from duewise.llm.phrases import Bitmap, pair_key
 from duewise.llm.registry import query
 
 #: Star centres that each node may be compared with.
@@ -28,6 +30,8 @@ STARS = 6
 CARRIED = 512
 #: Pairs of two groups that are checked before the rest of their pairs.
 PICKS = 3
+#: Places of texts, of three longs each, that are sent to all tasks.
+FEW = 8192
 #: An n-gram of so large a share of the documents counts as frequent.
 FREQUENT = 0.002
 #: Rows of an n-gram from which its nodes meet a centre node, round by round, before they meet in pairs.
@@ -55,11 +59,18 @@ def _width(band: int, percent: int) -> int:
 
 
 def bitmap(grams: np.ndarray, width: int) -> np.ndarray:
-    bits = np.zeros(width, np.uint8)
-    bits[(grams & np.uint64(width - 1)).astype(np.int64)] = 1
+    """For each of ``width`` places, whether an odd number of the n-grams falls on it."""
+    bits = np.bincount((grams & np.uint64(width - 1)).astype(np.int64), minlength=width).astype(np.uint8) & np.uint8(1)
     return np.packbits(bits, bitorder="little").view(np.uint64)
 
 
+def folded(bits: np.ndarray, width: int) -> np.ndarray:
+    """A bitmap's n-grams in one of the smaller ``width``."""
+    while len(bits) * 64 > width:
+        bits = bits[: len(bits) // 2] ^ bits[len(bits) // 2 :]
+    return bits
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     row = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
@@ -76,7 +87,7 @@ def _described(keyed: DataFrame, size: int, percent: int) -> DataFrame:
         plain, salted = (np.array([x.sum(dtype=np.uint64) for x in sums], np.uint64) for sums in (rows, [mix(g ^ _SALTS[-1]) for g in rows]))
         nodes = plain + salted * np.uint64(3)
         own = [bitmap(g, _width(b, percent)) for g, b in zip(rows, bands.tolist(), strict=True)]
-        low = [bitmap(g, _width(b - 1, percent)) for g, b in zip(rows, bands.tolist(), strict=True)]
+        low = [folded(x, _width(b - 1, percent)) for x, b in zip(own, bands.tolist(), strict=True)]
         stars = [np.array([mix(g ^ s).min() for s in _SALTS[:-1]]) if len(g) else np.zeros(STARS, np.uint64) for g in rows]
         found, counts = np.unique(np.concatenate(rows), return_counts=True)
         many = counts >= max(4, FREQUENT * len(rows))
@@ -125,37 +136,49 @@ def _prefixes(keyed: DataFrame, size: int, percent: int, frequent: np.ndarray) -
     return map_rows(keyed.select("row_id", "text_key", "text"), run, "row_id long, text_key long, prefix array<long>")
 
 
-def _only(a: Column, b: Column) -> Column:
-    """Bits of ``a`` that ``b`` has not."""
-    return F.aggregate(F.zip_with(a, b, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda total, x: total + x)
+def _changed(a: Column, b: Column) -> Column:
+    """Places where two bitmaps differ."""
+    return F.aggregate(F.zip_with(a, b, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda total, x: total + x)
 
 
 def _may_link(x: str, y: str, percent: int) -> Column:
     """Whether the sizes and the bit counts of two nodes, ``x`` the smaller, allow the similarity.
 
-    Each bit that one bitmap has alone stands for at least one n-gram that the other set lacks.
+    N-grams of both sets change the parity of a place twice, so each place that differs stands for at least one
+    n-gram of one set alone, however many they share.
     """
     nx, ny = F.col(f"{x}.n"), F.col(f"{y}.n")
     mine = F.col(f"{x}.own")
     other = F.when(F.col(f"{y}.band") == F.col(f"{x}.band"), F.col(f"{y}.own")).otherwise(F.col(f"{y}.low"))
-    need = percent * (nx + ny)
-    scale = 100 + percent
     sizes = (nx <= ny) & (100 * nx >= percent * ny) & (F.col(f"{y}.band") - F.col(f"{x}.band")).isin(0, 1)
-    return sizes & (scale * (nx - _only(mine, other)) >= need) & (scale * (ny - _only(other, mine)) >= need)
+    return sizes & ((100 + percent) * (nx + ny - _changed(mine, other)) >= 2 * percent * (nx + ny))
 
 
 def _sets(pairs: DataFrame, keyed: DataFrame, nodes: DataFrame, size: int, ws: Workspace, name: str) -> DataFrame:
-    """node, grams: the sorted n-grams of the nodes in ``pairs``, made from one text of each."""
+    """node, grams: the sorted n-grams of the nodes in ``pairs``, made from one text of each.
+
+    A few places go to all tasks; of more, a bitmap leaves out all other texts before the shuffle.
+    """
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    places = nodes.join(wanted, "node").select("node", "row_id", "text_key")
+    places = ws.stage(nodes.join(wanted, "node").select("node", "row_id", "text_key"), f"{name}-places")
+    few = places.count() <= FEW
+    bits = None if few else Bitmap(places.select("row_id", "text_key"), ("places", ws.path(f"{name}-places")))
+
+    def may_be_wanted(batch: pa.RecordBatch) -> pa.RecordBatch:
+        own = [batch.column(c).to_numpy().view(np.uint64) for c in ("row_id", "text_key")]
+        return batch.filter(pa.array(bits.may_hold(pair_key(*own))))
 
     def arrays(batch: pa.RecordBatch) -> dict:
         rows = [ngrams(t, size) for t in texts_of(batch)]
         return {"node": batch.column("node"), "grams": list_array(pa.array(signed(np.concatenate(rows))), [len(g) for g in rows])}
 
+    some = keyed if few else map_rows(keyed.select("row_id", "text_key", "text"), may_be_wanted, "row_id long, text_key long, text string")
     # Rows that repeat a row in full give a node twice; one of them stands for it.
-    texts = keyed.join(ws.stage(places, f"{name}-places"), ["row_id", "text_key"]).dropDuplicates(["row_id", "text_key", "node"]).select("node", "text")
-    return ws.stage(map_rows(texts, arrays, "node long, grams array<long>"), f"{name}-sets")
+    texts = some.join(F.broadcast(places) if few else places, ["row_id", "text_key"]).dropDuplicates(["row_id", "text_key", "node"]).select("node", "text")
+    sets = ws.stage(map_rows(texts, arrays, "node long, grams array<long>"), f"{name}-sets")
+    if bits:
+        bits.close()
+    return sets
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -206,8 +229,17 @@ def _allowed(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return both.where(may).select(*pairs.columns)
 
 
+def _narrow(bits: str) -> Column:
+    """A bitmap of more than ``CARRIED`` places, folded to that many."""
+    words, c = CARRIED // 64, F.col(bits)
+    places = F.transform(F.sequence(F.lit(0), F.lit(words - 1)), lambda i: F.aggregate(
+        F.sequence(i, F.size(c) - 1, F.lit(words)), F.lit(0).cast("long"), lambda total, k: total.bitwiseXOR(F.element_at(c, k + 1))
+    ))
+    return F.when(F.size(c) > words, places).otherwise(c).alias(bits)
+
+
 def _contracted(crowds: DataFrame, groups: DataFrame, keyed: DataFrame, nodes: DataFrame, size: int, percent: int, ws: Workspace) -> DataFrame:
-    """``groups`` after rounds of links between the nodes of an n-gram (gram, node) and one centre node of it.
+    """``groups`` after rounds of links between the nodes of an n-gram (gram, node, n) and one centre node of it.
 
     Each round has new centres, so a node costs one comparison a round for each of its n-grams, not one for each
     other node. Rounds end when they no longer join one in 32 of the groups; links that none has met stay for the tiles.
@@ -215,11 +247,14 @@ def _contracted(crowds: DataFrame, groups: DataFrame, keyed: DataFrame, nodes: D
     turn = 0
     while True:
         turn += 1
-        named = crowds.join(groups, "node", "left").select("gram", "node", F.coalesce("component", "node").alias("part"))
+        named = crowds.join(groups, "node", "left").select("gram", "node", "n", F.coalesce("component", "node").alias("part"))
         before = named.agg(F.countDistinct("part")).first()[0]
-        order = F.struct(F.xxhash64("node", "gram", F.lit(turn)), "node", "part")
-        centres = named.groupBy("gram").agg(F.max(order).alias("c")).select("gram", F.col("c.node").alias("centre"), F.col("c.part").alias("its"))
-        met = named.join(centres, "gram").where("part != its").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
+        order = F.struct(F.xxhash64("node", "gram", F.lit(turn)), "node", "part", "n")
+        centres = named.groupBy("gram").agg(F.max(order).alias("c"))
+        centres = centres.select("gram", F.col("c.node").alias("centre"), F.col("c.part").alias("its"), F.col("c.n").alias("its_n"))
+        # Pairs whose sizes allow no link are not joined to their bitmaps.
+        sizes = 100 * F.least("n", "its_n") >= percent * F.greatest("n", "its_n")
+        met = named.join(centres, "gram").where("part != its").where(sizes).select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
         pairs = ws.stage(_allowed(met.distinct(), nodes, percent), f"crowd-pairs-{turn}")
         links = ws.stage(_linked(pairs, _sets(pairs, keyed, nodes, size, ws, f"crowd-{turn}"), percent), f"crowd-links-{turn}")
         ws.drop(f"crowd-pairs-{turn}", f"crowd-{turn}-places", f"crowd-{turn}-sets")
@@ -302,24 +337,26 @@ def grouped_rows(docs: DataFrame, ws: Workspace, size: int, percent: int) -> Dat
     frequent = _frequent(described)
     prefixes = ws.stage(_prefixes(keyed, size, percent, frequent), "prefixes")
     tokens = ws.stage(
-        nodes.select("node", "row_id", "text_key").join(prefixes, ["row_id", "text_key"]).join(groups, "node", "left")
-        .select("node", F.coalesce("component", "node").alias("part"), F.posexplode("prefix").alias("place", "gram")), "tokens",
+        nodes.select("node", "row_id", "text_key", "n").join(prefixes, ["row_id", "text_key"]).join(groups, "node", "left")
+        .select("node", "n", F.coalesce("component", "node").alias("part"), F.posexplode("prefix").alias("place", "gram")), "tokens",
     )
     ws.drop("prefixes")
     shared = ws.stage(
         tokens.groupBy("gram").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count(F.lit(1)).alias("rows"))
         .where("low != high").select("gram", "rows"), "shared",
     )
-    crowds = ws.stage(tokens.join(shared.where(F.col("rows") >= CROWD).select("gram"), "gram").select("gram", "node").distinct(), "crowds")
+    meeting = ws.stage(tokens.join(shared, "gram"), "meeting")
+    ws.drop("tokens", "shared")
+    crowds = ws.stage(meeting.where(F.col("rows") >= CROWD).select("gram", "node", "n").distinct(), "crowds")
     groups = _contracted(crowds, groups, keyed, nodes, size, percent, ws)
     ws.drop("crowds")
     # Bitmaps travel with the rows of sets of ordinary size; those of very large sets are looked at once a pair.
     none = F.array().cast("array<long>")
     small = nodes.select("node", "n", "band", *(F.when(F.col("n") <= CARRIED, F.col(c)).otherwise(none).alias(c) for c in ("own", "low")))
     now = groups.select("node", F.col("component").alias("now"))
-    places = tokens.join(shared.select("gram"), "gram").distinct().join(now, "node", "left").withColumn("part", F.coalesce("now", "part")).drop("now")
+    places = meeting.drop("n", "rows").distinct().join(now, "node", "left").withColumn("part", F.coalesce("now", "part")).drop("now")
     met = ws.stage(places.join(small, "node"), "met")
-    ws.drop("tokens", "shared")
+    ws.drop("meeting")
     # Each row brings the one bitmap that its tile compares: its own band's, or that of the band below.
     plain = ["node", "part", "place", "gram", "n", "band"]
     x = met.select(*plain, F.col("band").alias("tile"), "own").alias("x")
@@ -334,10 +371,12 @@ def grouped_rows(docs: DataFrame, ws: Workspace, size: int, percent: int) -> Dat
     large = (F.size("x.own") == 0) | (F.size("y.own") == 0)
     near = x.join(y, tiles & order & sizes & room[0] & room[1] & F.when(large, F.lit(True)).otherwise(_may_link("x", "y", percent)))
     candidates = ws.stage(near.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), large.alias("large")).distinct(), "candidates")
-    # The tiles have compared the bitmaps that they carry; only those of very large sets are left to compare.
-    rest = _allowed(candidates.where("large").select("a", "b"), nodes, percent)
+    # The tiles have compared the bitmaps that they carry; only those of very large sets are left to compare, folded ones first.
+    wide = nodes.where(100 * F.col("n") > percent * CARRIED)
+    narrow = wide.select("node", "n", "band", _narrow("own"), _narrow("low"))
+    rest = _allowed(ws.stage(_allowed(candidates.where("large").select("a", "b"), narrow, percent), "rest"), wide, percent)
     pairs = ws.stage(candidates.where("not large").select("a", "b").unionByName(rest), "pairs")
-    ws.drop("candidates", "met")
+    ws.drop("candidates", "met", "rest")
     sets = _sets(pairs, keyed, nodes, size, ws, "tile")
     # One link joins two groups: some pairs of each two groups first, the rest only for groups still apart.
     apart = _apart(pairs, groups)
