@@ -35,6 +35,8 @@ BLOCKS = 8
 _P = np.uint64(0x9E3779B97F4A7C15)
 _P_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _CHUNK = 1 << 20
+#: Code points of the lines whose keys are made at a time: so few that the working arrays stay in the processor's cache.
+_PART = 1 << 18
 
 
 def _powers(base: np.uint64, n: int) -> np.ndarray:
@@ -44,6 +46,14 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
 
 
 _UP, _DOWN = _powers(_P, _CHUNK + 1), _powers(_P_INVERSE, _CHUNK + 1)
+#: Hashes of the first code points.
+_LETTERS = mix(np.arange(1, 1 << 12, dtype=np.uint64))
+
+
+def _letter_hashes(codes: np.ndarray) -> np.ndarray:
+    if not len(codes) or codes.max() < len(_LETTERS):
+        return _LETTERS[codes]
+    return mix(codes.astype(np.uint64) + np.uint64(1))
 
 
 def _moves(edits: int, less: int, number: int) -> range:
@@ -58,11 +68,11 @@ def segment_keys(lines: list[np.ndarray], edits: int = EDITS, indexed_only: bool
     the probes that are not index keys.
     """
     lengths = np.array([len(x) for x in lines])
-    codes = np.concatenate(lines).astype(np.uint64)
+    codes = np.concatenate(lines)
     total = len(codes)
     up, down = (_UP, _DOWN) if total <= _CHUNK else (_powers(_P, total + 1), _powers(_P_INVERSE, total + 1))
     sums = np.zeros(total + 1, np.uint64)
-    np.cumsum(mix(codes + np.uint64(1)) * up[:total], out=sums[1:])
+    np.cumsum(_letter_hashes(codes) * up[:total], out=sums[1:])
     base = np.cumsum(lengths) - lengths
 
     def key(indexed: np.ndarray, number: int, at: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -181,6 +191,19 @@ def _code_points(line: str) -> np.ndarray:
     return np.frombuffer(line.encode("utf-32-le"), np.uint32)
 
 
+def _all_code_points(lines: pa.Array) -> list[np.ndarray]:
+    """The code points of each line of a batch; bytes of ASCII lines are not copied."""
+    data = lines.cast(pa.binary())
+    ends = np.frombuffer(data.buffers()[1], np.int32)[data.offset : data.offset + len(data) + 1]
+    codes = np.frombuffer(data.buffers()[2], np.uint8)[ends[0] : ends[-1]] if ends[-1] > ends[0] else np.zeros(0, np.uint8)
+    ends = ends - ends[0]
+    if len(codes) and codes.max() >= 128:
+        more = np.flatnonzero((codes & 0xC0) == 0x80)
+        codes, ends = np.frombuffer(codes.tobytes().decode().encode("utf-32-le"), np.uint32), ends - np.searchsorted(more, ends)
+    ends = ends.tolist()
+    return [codes[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("row_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
@@ -204,12 +227,12 @@ def _keys(lines: DataFrame, edits: int, met: Bitmap | None = None) -> DataFrame:
     shorter = np.array([less for less in range(edits + 1) for number in range(edits + 1) for _ in _moves(edits, less, number)])
 
     def run(batch: pa.RecordBatch) -> dict:
-        texts = [_code_points(x) for x in batch.column("line").to_pylist()]
+        texts = _all_code_points(batch.column("line"))
         numbers = batch.column("number").to_numpy()
         outs, carried, start = [], [], 0
         while start < len(texts):
             stop, held = start, 0
-            while stop < len(texts) and (stop == start or held + len(texts[stop]) <= _CHUNK):
+            while stop < len(texts) and (stop == start or held + len(texts[stop]) <= _PART):
                 held += len(texts[stop])
                 stop += 1
             index, probe = segment_keys(texts[start:stop], edits)
