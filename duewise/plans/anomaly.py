@@ -254,7 +254,7 @@ SERIES_DAYS = {
     "high_balance_high_risk_share": ("dws_customer_status_snapshot_di", None), "ai_call_coverage": ("dws_collection_process_wide_di", None),
 }
 #: Read by most of the checks, so written once, for the days of the windows only.
-WINDOW_TABLES = ("dwd_collection_action_detail_di",)
+WINDOW_TABLES = ("dwd_collection_action_detail_di", "dwd_due_plan_detail_di")
 #: Built here, the dashboard and what copies its days end with the case snapshots, which have a row for each of its days.
 BOARD_DAYS = ("ads_postloan_dashboard_di", "ads_reduction_roi_di")
 

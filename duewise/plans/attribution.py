@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from duewise.functions.rates import flag_sum, safe_rate, total
-from duewise.operators.joins import coalescing_join
+from duewise.operators.joins import coalescing_join, met
 from duewise.operators.ordering import dedupe, latest_per_key, top_per_key
 from duewise.operators.windows import WindowBounds, bounds_from
 from duewise.plans.warehouse import HIGH_BALANCE
@@ -106,18 +106,39 @@ def _basis(wh, name: str, origin: str) -> str:
     return origin if not wh.strict and not wh.source.has(name) and wh.source.has(origin) else name
 
 
+def on_days_met(snapshot: DataFrame, base: DataFrame, key: str) -> DataFrame:
+    """The rows of a daily snapshot that a left join of ``base`` by day and ``key`` can meet.
+
+    A snapshot has every customer or case on every day, and most of ``base`` may lie outside its days. The pairs that both
+    can have are written once: few or many, their size is known, and their keys are met before the days are.
+    """
+    days = snapshot.select("stat_date").distinct()
+    pairs = stage(base.select("stat_date", key).distinct().join(days, "stat_date", "left_semi"), "pairs")
+    return met(met(snapshot, pairs, [key]), pairs, ["stat_date", key])
+
+
 def recovery_fact(wh) -> DataFrame:
     """M1 loan-days with case, resource, customer and score attributes and same-day process facts.
 
     Missing optional tables leave their dimensions UNKNOWN and add a note to the warehouse. All right sides
     hold one row per key, so the fact keeps the rows of the loan status table.
     """
+    # A strict warehouse builds nothing, so its tables are joined as they are given.
+    def few(right: DataFrame, left: DataFrame, keys: list[str]) -> DataFrame:
+        return met(right, left, keys) if wh.dated and not wh.strict else right
+
+    def on_days(snapshot: DataFrame, key: str) -> DataFrame:
+        return snapshot if wh.strict else on_days_met(snapshot, base, key)
+
     loan = wh["dws_loan_status_snapshot_di"].filter(F.col("dpd_bucket") == "M1").select(
         F.to_date("stat_date").alias("stat_date"), "loan_id", "customer_id", "product_code", "dpd_bucket", "due_amount",
         "repaid_amount_d7",
     )
     mapping = wh.optional("dim_case_loan_mapping", {"loan_id": L, "case_id": L})
-    loan = loan.join(dedupe(mapping.select("loan_id", "case_id"), ["loan_id"], ["case_id"]), "loan_id", "left")
+    mapping = few(mapping.select("loan_id", "case_id"), loan, ["loan_id"])
+    loan = loan.join(dedupe(mapping, ["loan_id"], ["case_id"]), "loan_id", "left")
+    # Written once where tables are built: the steps below look at its keys before they look up the rest.
+    base = loan = loan if wh.strict else stage(loan, "fact-loans")
 
     case = wh.optional(
         "dim_case",
@@ -126,6 +147,7 @@ def recovery_fact(wh) -> DataFrame:
         "case_id", F.col("current_vendor_id").alias("vendor_id"), F.col("current_line_id").alias("line_id"), "collector_id",
         "balance_segment",
     )
+    case = few(case, base, ["case_id"])
     loan = loan.join(dedupe(case, ["case_id"], ["vendor_id", "line_id"]), "case_id", "left")
 
     status = wh.optional(
@@ -133,22 +155,22 @@ def recovery_fact(wh) -> DataFrame:
         {"stat_date": DATE, "case_id": L, "vendor_id": S, "line_id": S, "collector_id": L},
     )
     places = ["vendor_id", "line_id", "collector_id"]
-    daily = dedupe(status.select("stat_date", "case_id", *places), ["stat_date", "case_id"], places)
+    daily = dedupe(on_days(status.select("stat_date", "case_id", *places), "case_id"), ["stat_date", "case_id"], places)
     loan = coalescing_join(loan, daily, ["stat_date", "case_id"], places)
 
     channel = wh.optional("dim_loan", {"loan_id": L, "channel_code": S}).select("loan_id", "channel_code")
-    loan = loan.join(dedupe(channel, ["loan_id"], ["channel_code"]), "loan_id", "left")
+    loan = loan.join(dedupe(few(channel, base, ["loan_id"]), ["loan_id"], ["channel_code"]), "loan_id", "left")
 
     balance = wh.optional(
         "dws_customer_status_snapshot_di",
         {"stat_date": DATE, "customer_id": L, "risk_level": S, "total_outstanding_amount": D},
     ).select(F.to_date("stat_date").alias("stat_date"), "customer_id", "risk_level", "total_outstanding_amount")
-    loan = loan.join(balance, ["stat_date", "customer_id"], "left")
+    loan = loan.join(on_days(balance, "customer_id"), ["stat_date", "customer_id"], "left")
 
     customer = wh.optional("dim_customer", {"customer_id": L, "province": S, "risk_level_current": S}).select(
         "customer_id", "province", F.col("risk_level_current").alias("risk_level")
     )
-    customer = dedupe(customer, ["customer_id"], ["province", "risk_level"])
+    customer = dedupe(few(customer, base, ["customer_id"]), ["customer_id"], ["province", "risk_level"])
     loan = coalescing_join(loan, customer, ["customer_id"], ["risk_level", "province"])
 
     vendor = wh.optional("dim_vendor", {"vendor_id": S, "vendor_name": S}).select("vendor_id", "vendor_name")
@@ -158,7 +180,8 @@ def recovery_fact(wh) -> DataFrame:
 
     score = wh.optional("ods_postloan_c_score", {"score_id": L, "customer_id": L, "score_date": S, "score_level": S})
     latest = latest_per_key(
-        score.select("score_id", "customer_id", "score_date", "score_level"), ["customer_id"], "score_date", ["score_id"]
+        few(score.select("score_id", "customer_id", "score_date", "score_level"), base, ["customer_id"]),
+        ["customer_id"], "score_date", ["score_id"],
     ).select("customer_id", F.col("score_level").alias("score_band"))
     loan = loan.join(latest, "customer_id", "left")
 
@@ -381,13 +404,32 @@ def confidence(linkage: Column) -> Column:
 
 
 #: Read by both the fact and the overall rate, so written once, for the days of the windows only.
-WINDOW_TABLES = ("dws_loan_status_snapshot_di",)
+WINDOW_TABLES = ("dws_loan_status_snapshot_di", "dwd_due_plan_detail_di")
 
 
-def newest_due_day(wh) -> datetime.date | None:
-    """The newest day of an M1 loan, from dates and buckets alone; all windows end with it."""
-    built = not wh.strict and not wh.source.has("dws_loan_status_snapshot_di")
-    return wh["dwd_due_plan_detail_di" if built else "dws_loan_status_snapshot_di"].filter(F.col("dpd_bucket") == "M1").agg(F.max(F.to_date("stat_date"))).first()[0]
+def newest_due_day(wh, days: int = 60) -> datetime.date | None:
+    """The newest day of an M1 loan, from dates and buckets alone; all windows end with it.
+
+    Where plans are built here, the last ``days`` days of due dates are looked through first, then ever longer spans: a day
+    found in a span is the newest of all, as no plan of a later day lies outside it.
+    """
+    def newest(w) -> datetime.date | None:
+        built = not w.strict and not w.source.has("dws_loan_status_snapshot_di")
+        rows = w["dwd_due_plan_detail_di" if built else "dws_loan_status_snapshot_di"]
+        return rows.filter(F.col("dpd_bucket") == "M1").agg(F.max(F.to_date("stat_date"))).first()[0]
+
+    if wh.strict or any(wh.source.has(n) for n in ("dws_loan_status_snapshot_di", "dwd_due_plan_detail_di")):
+        return newest(wh)
+    plans = wh["ods_repayment_plan"]
+    if not isinstance(plans.schema["due_date"].dataType, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return newest(wh)
+    first, last = plans.agg(F.min(F.to_date("due_date")), F.max(F.to_date("due_date"))).first()
+    while last is not None and days < (last - first).days:
+        day = newest(type(wh)(DatedSource(wh.source, last - datetime.timedelta(days=days))))
+        if day is not None:
+            return day
+        days *= 8
+    return newest(wh)
 
 
 class Attribution:

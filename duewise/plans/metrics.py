@@ -59,7 +59,7 @@ def recovery_metrics(wh) -> DataFrame:
     due = drop_null_keys(wh["dwd_due_plan_detail_di"], ["stat_date"]).select(
         "plan_id", "stat_date", "due_date", "outstanding_amount"
     )
-    paid = plan_recoveries(due, wh["dwd_repayment_detail_di"], [7, 15, 30])
+    paid = plan_recoveries(due, wh.repayments(due), [7, 15, 30])
     sums = paid.groupBy("stat_date").agg(
         *(F.sum(f"repaid_amount_d{n}").alias(f"_d{n}") for n in (7, 15, 30)),
         total("outstanding_amount").alias("_out"),
