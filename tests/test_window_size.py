@@ -84,3 +84,10 @@ def test_first_rows_of_loans_stay_the_same(spark):
     names = wh["dwd_due_plan_detail_di"].columns
     want = dedupe(wh["dwd_due_plan_detail_di"].filter(F.col("stat_date") >= F.lit(first)), names, names)
     assert sorted(map(str, window["dwd_due_plan_detail_di"].select(*names).collect())) == sorted(map(str, want.collect()))
+
+
+def test_days_are_made_in_many_tasks_and_not_shuffled(spark):
+    table = StarSchemaDomain(spark, FOLDER).table("ods_customer_daily_snapshot")
+    assert table.select("customer_id", "stat_date").rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    plan = table.groupBy("stat_date", "customer_id").count()._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(stat_date" not in plan and "BroadcastNestedLoopJoin" in plan
