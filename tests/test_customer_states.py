@@ -40,3 +40,30 @@ def test_states_are_those_of_days_made_loan_by_loan(spark):
 def test_days_of_loans_are_not_shuffled(spark):
     wh = tables(spark)
     assert "hashpartitioning(stat_date" not in ds.case_daily_state(wh)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_built_snapshots_are_checked_without_being_written(spark, monkeypatch):
+    from duewise.catalog import open_warehouse
+    from duewise.plans import checks, warehouse
+
+    def stage(df, name):
+        raise AssertionError(f"{name} was written")
+
+    monkeypatch.setattr(warehouse, "stage", stage)
+    rows = {r.check_name: r.bad_count for r in checks.snapshot_invariants(open_warehouse(spark, "/root/testdata/sf0.001")).collect()}
+    assert set(rows.values()) == {0} and len(rows) == 4
+    from duewise.catalog import QUERIES, load
+    load()
+    assert {r.bad_count for r in QUERIES["quality_snapshot_invariants"](spark, "/root/testdata/sf0.001").collect()} == {0}
+
+
+def test_wrong_days_of_a_given_snapshot_are_counted(spark):
+    from duewise.plans import checks
+
+    wh = tables(spark)
+    good = ds.loan_daily_state(wh)
+    bad = F.when((F.col("loan_id") == 1) & F.col("stat_date").between(day(60), day(63)), F.col("outstanding_amount") + 5.0)
+    wh["ods_loan_daily_snapshot"] = good.withColumn("outstanding_amount", F.coalesce(bad, "outstanding_amount"))
+    wh.strict = True
+    got = {r.check_name: r.bad_count for r in checks.snapshot_invariants(wh).collect()}
+    assert (got["outstanding_rises"], got["outstanding_is_due_less_repaid"], got["dpd_when_paid"]) == (1, 4, 0)
