@@ -52,7 +52,7 @@ def evidence(wh):
 
 
 def register() -> None:
-    add("attribution_fact", fact, "SELECT * FROM recovery_fact", shared=SHARED_TABLES, due_amount=4, repaid_amount_d7=4)
+    add("attribution_fact", fact, "SELECT * FROM recovery_fact", due_amount=4, repaid_amount_d7=4)
     add("attribution_overall", lambda wh: Attribution(wh).overall,
         "SELECT *, recent_total - baseline_total AS total_delta FROM overall_rate", baseline_total=6, recent_total=6, total_delta=6)
     measures = {"numerator": "num", "denominator": "den", "loan_count": "loans", "actions": "actions", "ai_actions": "ai", "manual_actions": "manual",

@@ -91,3 +91,12 @@ def test_days_are_made_in_many_tasks_and_not_shuffled(spark):
     assert table.select("customer_id", "stat_date").rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
     plan = table.groupBy("stat_date", "customer_id").count()._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(stat_date" not in plan and "BroadcastNestedLoopJoin" in plan
+
+
+def test_the_whole_fact_does_not_make_the_windows_fact(spark, monkeypatch):
+    from duewise.plans import attribution
+
+    made = []
+    monkeypatch.setattr(attribution, "recovery_fact", lambda wh: made.append(wh.dated) or wh["dim_loan"])
+    run = attribution.Attribution(open_warehouse(spark, FOLDER))
+    assert run.fact is not None and run.overall.count() == 1 and made == [False]
